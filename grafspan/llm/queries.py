@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, url_filter
+from . import decontaminate, near_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
     }
 
 
