@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, url_filter
+from . import decontaminate, near_dedup, token_files, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 
