@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, token_files, url_filter
+from . import decontaminate, language, near_dedup, quality, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_quality": quality.op3_quality,
+        "op4_language": language.op4_language,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_token_files": token_files.op8_token_files,
     }
