@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near_dedup, quality, token_files, url_filter
+from . import decontaminate, html_extract, language, near_dedup, quality, token_files, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_quality": quality.op3_quality,
         "op4_language": language.op4_language,
+        "op5_html_extract": html_extract.op5_html_extract,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_token_files": token_files.op8_token_files,
     }
