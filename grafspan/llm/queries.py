@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language, lm_scoring, near_dedup, quality, token_files, url_filter
+from . import decontaminate, html_extract, language, lm_scoring, near_dedup, perplexity, quality, token_files, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_token_files": token_files.op8_token_files,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
+        "op10_quality_rules": perplexity.op10_quality_rules,
     }
 
 
