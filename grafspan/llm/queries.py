@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language, lm_scoring, near_dedup, perplexity, quality, token_files, url_filter
+import corpus_pipeline
+
+from . import decontaminate, html_extract, language, lm_scoring, near_dedup, perplexity, piece_sampling, quality, token_files, url_filter
 
 
 def queries() -> dict:
@@ -12,10 +14,12 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_language": language.op4_language,
         "op5_html_extract": html_extract.op5_html_extract,
+        "op6_piece_sampling": piece_sampling.op6_piece_sampling,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_token_files": token_files.op8_token_files,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_quality_rules": perplexity.op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
