@@ -1,23 +1,22 @@
 """Near-duplicate detection: banded MinHash, odd sketches as filter, links confirmed on full sets.
 
-1. A pass over the texts makes each document's shingle set (5-word runs of A-Z lower-cased words),
-   its digest, 125 MinHash samples in 25 bands of 5, and an odd sketch: a 512-bit parity bitmap into
-   which all samples are folded.
+1. A pass over the texts makes each document's shingle set (5-word runs of A-Z lower-cased words), its
+   digest, 125 MinHash values in 25 bands of 5, and an odd sketch: the least hash in each of 1024 bins is
+   a MinHash sample, and all samples are folded into a parity bitmap of 2048 bits.
 2. Documents with equal sets form a class at once; only class representatives go on.
-3. Representatives meet in band buckets. Each is compared with the bucket's smallest id; where a bucket
-   then still holds several components, every pair across them is looked at, in blocks of 256 members,
-   by the population count of XORed sketches. A bucket of any size is treated whole.
+3. Representatives meet in band buckets. Each is compared with the bucket's smallest id. Where a bucket then
+   still holds several components, its members are compared across them in blocks of 256, by the population
+   count of XORed sketches: each member's best few partners first, then more, at last all. So a group that is
+   linked through some of its members comes together after few comparisons, and no link is left out.
 4. Pairs that the sketch does not rule out are confirmed on their full sets.
 5. Components come from star contraction on the link table.
 
-At a similarity of 0.85 a pair misses all bands with probability 5e-7 and the sketch filter
-(five standard deviations below the expectation) with about 3e-7.
+At a similarity of 0.85 a pair misses all bands with probability 5e-7; the sketch filter lies five standard
+deviations beyond the expectation at that similarity.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,21 +28,29 @@ from .components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
-SKETCH_BITS = 512
+SKETCH_BITS, BINS = 2048, 1024
 BLOCK = 256
+#: Partners of a member in each round of step 3; None: all.
+ROUNDS = (4, 32, 256, None)
 _K = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**64, _K, dtype=np.uint64)
 
 
-def sketch_limit(similarity: float, deviations: float = 5) -> int:
-    """Largest XOR population count that a pair of this similarity is expected to show."""
-    diff, n = 2 * _K * (1 - similarity), SKETCH_BITS
-    mean = n / 2 * (1 - math.exp(-2 * diff / n))
-    by_sample = 4 * _K * similarity * (1 - similarity) * math.exp(-2 * diff / n) ** 2
-    by_fold = n / 4 * (1 - math.exp(-4 * diff / n))
-    return math.floor(mean + deviations * math.sqrt(by_sample + by_fold))
+def sketch_limit(sizes: np.ndarray, similarity: float, deviations: float = 5) -> np.ndarray:
+    """Largest XOR population count that pairs of this similarity are expected to show, by the sum of their set sizes."""
+    union = sizes / (1 + similarity)
+    rate = union / BINS
+    # a bin's least hash is in one set only with probability 1 - similarity; the other set then has another, or none
+    each = 2 - np.exp(-rate * (1 + similarity) / 2)
+    bins = BINS * (1 - np.exp(-rate))
+    diff = bins * (1 - similarity) * each
+    by_sample = bins * similarity * (1 - similarity) * each**2 * (1 - np.exp(-rate))
+    n = SKETCH_BITS
+    mean = n / 2 * (1 - (1 - 2 / n) ** diff)
+    by_fold = n / 4 * (1 - (1 - 4 / n) ** diff)
+    return np.floor(mean + 2 + deviations * np.sqrt(by_sample * ((1 - 2 / n) ** diff) ** 2 + by_fold))
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
@@ -77,10 +84,18 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         low = common.mix(low)
         bands = low.reshape(len(sets), BANDS, ROWS) * common.ORDER[:ROWS]
         bands = common.mix(bands.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * common.ORDER[9])
-    bits = (common.mix(low ^ np.arange(_K, dtype=np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    parity = np.zeros((len(sets), SKETCH_BITS), np.uint8)
-    np.bitwise_xor.at(parity, (np.arange(len(sets))[:, None], bits), 1)
-    return bands, np.packbits(parity, axis=1).view(np.uint64)
+    return bands, np.concatenate([_sketches(sets[i : i + 512]) for i in range(0, len(sets), 512)])
+
+
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = owner * BINS + (flat >> np.uint64(54)).astype(np.int64)
+    # sets are sorted, so that the first of each bin is its least
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    bit = (common.mix(flat[first]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    parity = np.bincount(owner[first] * SKETCH_BITS + bit, minlength=len(sets) * SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(len(sets), SKETCH_BITS), axis=1).view(np.uint64)
 
 
 def _longs(a: np.ndarray) -> pa.Array:
@@ -137,25 +152,38 @@ def _confirm(percent: int):
     return confirm
 
 
-def _across(limit: int):
-    """Members of one pair of blocks of a bucket -> pairs of different components within the sketch limit."""
+def _within(similarity: float):
+    """(a, b, na, nb, sx, sy) -> the pairs that their sketches don't rule out."""
+
+    def within(batches):
+        for batch in batches:
+            x, y = (batch.column(k).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            z = np.bitwise_count(x ^ y).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(z <= sketch_limit(batch.column(2).to_numpy() + batch.column(3).to_numpy(), similarity)))
+
+    return within
+
+
+def _across(similarity: float, most: int | None):
+    """Members of one pair of blocks of a bucket -> pairs of different components within the sketch limit:
+    for each member those with the ``most`` least different sketches."""
 
     def across(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        side, ids, comp, size = (table.column(c).to_numpy() for c in ("side", "id", "comp", "n"))
         flat = table.column("sketch").combine_chunks()
         sketch = flat.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        a, b = [], []
-        for i in left:
+        found = [np.empty((0, 2), np.int64)]
+        for i in range(len(ids)):
             # side 2: the block met with itself
-            others = right[ids[right] > ids[i]] if side[i] == 2 else right
+            others = np.flatnonzero((side == 2 if side[i] == 2 else side == 1 - side[i]) & (comp != comp[i]))
             z = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
-            ok = others[(z <= limit) & (comp[others] != comp[i])]
-            a.append(np.minimum(ids[ok], ids[i]))
-            b.append(np.maximum(ids[ok], ids[i]))
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+            near = np.flatnonzero(z <= sketch_limit(size[others] + size[i], similarity))
+            if most is not None and len(near) > most:
+                near = near[np.argsort(z[near], kind="stable")[:most]]
+            other = ids[others[near]]
+            found.append(np.stack([np.minimum(other, ids[i]), np.maximum(other, ids[i])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return across
 
@@ -173,41 +201,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.ship(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     signed = common.store(narrow.mapInArrow(_sign, "_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-signatures")
-    classes = signed.where("n > 0 AND _id IS NOT NULL").groupBy("d1", "d2").agg(F.min("_id").alias("id"), F.min_by("bands", "_id").alias("bands"), F.min_by("sketch", "_id").alias("sketch"))
-    classes = common.store(classes, "near-classes")
+    known = signed.where("n > 0 AND _id IS NOT NULL")
+    classes = common.store(known.groupBy("d1", "d2").agg(F.min("_id").alias("id")), "near-classes")
+    # rows that share id and set are one; a class's signature is that of its representative
+    marked = known.withColumnRenamed("_id", "id").join(classes.hint("merge"), ["d1", "d2", "id"], "left_semi")
 
-    keys = classes.select("id", F.explode("bands").alias("key"))
+    keys = marked.select("id", F.explode("bands").alias("key")).distinct()
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = common.store(keys.join(buckets, "key").select("key", "id", "pivot", "size"), "near-buckets")
-
-    limit = sketch_limit(percent / 100)
-    sketches = classes.select("id", "sketch")
+    members = common.store(keys.join(buckets.hint("merge"), "key").select("key", "id", "pivot", "size"), "near-buckets")
     met = members.select("id").distinct()
-    sets = common.store(narrow.withColumnRenamed("_id", "id").join(met, "id", "left_semi").select("id", "_text").mapInArrow(_load_sets, "id long, shingles binary"), "near-sets")
+    sketches = common.store(marked.join(met.hint("merge"), "id", "left_semi").select("id", "n", "sketch"), "near-sketches")
+
+    # the joins are merge joins at any size: neither side is bounded
+    sets = common.store(narrow.withColumnRenamed("_id", "id").join(met.hint("merge"), "id", "left_semi").select("id", "_text").mapInArrow(_load_sets, "id long, shingles binary"), "near-sets")
+    similarity = percent / 100
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
-    apart = sum(F.bit_count(F.col("sx")[k].bitwiseXOR(F.col("sy")[k])) for k in range(SKETCH_BITS // 64))
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sx")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sy")), "b")
-    star = star.where(apart <= limit).select("a", "b")
-    links = common.store(confirmed(star), "near-links")
-    comps = common.checkpoint(connected_components(links))
-
-    # what the pivots did not settle: buckets with several components
-    known = members.where("size > 2").select("key", "id", "size").join(comps, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
-    open_keys = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = known.join(open_keys, "key", "left_semi").join(sketches, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "id", "comp", "sketch", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    pairs = rest.groupBy("key", "p", "q").applyInArrow(_across(limit), "a long, b long").distinct()
-    more = common.store(confirmed(pairs), "near-more")
-    if not more.isEmpty():
-        comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    x = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sx"))
+    y = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sy"))
+    star = star.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "na", "nb", "sx", "sy").mapInArrow(_within(similarity), "a long, b long").distinct()
+    comps = connected_components(confirmed(star, sets))
+
+    tested = None
+    for most in ROUNDS:
+        # buckets that still hold several components
+        at = members.where("size > 2").select("key", "id", "size").join(comps, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
+        open_keys = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        rest = common.store(at.join(open_keys, "key", "left_semi"), "near-open")
+        if rest.isEmpty():
+            break
+        if tested is None:
+            here = rest.select("id").distinct()
+            few_sets, few_sketches = common.store(sets.join(here, "id", "left_semi"), "near-open-sets"), common.store(sketches.join(here, "id", "left_semi"), "near-open-sketches")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rest = rest.join(few_sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+        rest = rest.select("key", "id", "comp", "n", "sketch", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), side.alias("side"))
+        pairs = rest.groupBy("key", "p", "q").applyInArrow(_across(similarity, most), "a long, b long").distinct()
+        pairs = common.store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = common.store(confirmed(pairs, few_sets), "near-more")
+        if not more.isEmpty():
+            comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     settled = classes.select("d1", "d2", "id").join(comps, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     found = signed.select("_id", "n", "d1", "d2").join(settled, ["d1", "d2"], "left")
