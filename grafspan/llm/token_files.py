@@ -15,9 +15,13 @@ A reader loads the footer, the table and the index, and decompresses only frames
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,9 @@ END_ID = 1
 #: Bytes of text in one shard, about.
 SHARD_BYTES = 32 << 20
 #: Cached spellings in one worker; beyond that the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Documents whose texts are copied out of an Arrow batch at a time.
+ROWS_AT_ONCE = 256
 _INDEX, _TABLE, _FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -121,25 +127,77 @@ class ShardReader:
         return out
 
 
+#: Latin letters that are composed, stable under normalisation and have one plain lower-case form.
+_LATIN = "".join(chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha() and chr(c) != "\u0130" and len(chr(c).lower()) == 1 and unicodedata.is_normalized("NFC", chr(c)) and 0xC0 <= ord(chr(c).lower()) < 0x250)
+#: Words of these characters only are split here; all others go to the library whole.
+_PLAIN = re.compile(rf"[!-~{_LATIN}]+")
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The character that stands for each byte: itself where it can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """ids of whole texts. White space always parts tokens in this vocabulary, so the spellings between ASCII
-    white space are encoded once each by the library and kept."""
+    """ids of whole texts. White space always parts tokens in this vocabulary, so each spelling between ASCII
+    white space is encoded once and kept. A spelling of plain characters is split into the vocabulary's pieces
+    here and its pieces go to the library's model; any other, and one that may hold a special token's text,
+    goes through the whole library. Only for a vocabulary with the normaliser and splitter known here are
+    spellings split; with any other all go to the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.signs = _byte_signs()
+        self.splits = self._known_splitter()
+
+    def _known_splitter(self) -> bool:
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in parts["normalizer"].get("normalizers", [])] if parts["normalizer"] else []
+        split = parts["pre_tokenizer"].get("pretokenizers", []) if parts["pre_tokenizer"] else []
+        pattern = split[0].get("pattern", {}).get("Regex") if len(split) == 2 else None
+        return kinds == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            signs = piece if piece.isascii() else "".join(map(self.signs.__getitem__, piece.encode()))
+            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, piece, splits, hard = self.known, self._piece, self.splits, []
+        for w in words:
+            if splits and w.isalpha():
+                # ASCII letters only
+                known[w] = piece(w.lower().decode())
+                continue
+            text = w.decode()
+            if splits and b"<|" not in w and _PLAIN.fullmatch(text):
+                parts = _PIECES.findall(text.lower())
+                known[w] = piece(parts[0]) if len(parts) == 1 else b"".join([piece(x) for x in parts])
+            else:
+                hard.append(w)
+        for a in range(0, len(hard), 1024):
+            part = hard[a : a + 1024]
+            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
         split = [t.split() for t in texts]
-        new = [w for w in {w for words in split for w in words} if w not in self.known]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn([w for w in {w for words in split for w in words} if w not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -153,12 +211,14 @@ def _writer(folder: str, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, shard, total, first = Encoder(path), ShardWriter(), 0, None
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), common.as_bytes(b.column(1))
-            for i, j in common.pieces([len(t) + 1 for t in texts]):
-                for doc, data in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True):
-                    first = first or (doc is not None, doc)
-                    shard.add(doc, data + tail)
-                    total += len(data) // 4 + 1
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(at, ROWS_AT_ONCE)
+                ids, texts = part.column(0).to_pylist(), common.as_bytes(part.column(1))
+                for i, j in common.pieces([len(t) + 1 for t in texts]):
+                    for doc, data in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True):
+                        first = first or (doc is not None, doc)
+                        shard.add(doc, data + tail)
+                        total += len(data) // 4 + 1
         if shard.docs:
             uri = f"{folder}/{uuid.uuid4().hex}.tok"
             common.put_file(uri, shard.finish())
