@@ -4,12 +4,13 @@
    digest, 125 MinHash values in 25 bands of 5, and an odd sketch: the least hash in each of 1024 bins is
    a MinHash sample, and all samples are folded into a parity bitmap of 2048 bits.
 2. Documents with equal sets form a class at once; only class representatives go on.
-3. Representatives meet in band buckets. Each is compared with the bucket's smallest id. Where a bucket then
-   still holds several components, its members are compared across them in blocks of 256, by the population
-   count of XORed sketches: each member's best few partners first, then more, at last all. So a group that is
-   linked through some of its members comes together after few comparisons, and no link is left out.
-4. Pairs that the sketch does not rule out are confirmed on their full sets.
-5. Components come from star contraction on the link table.
+3. Representatives meet in band buckets. Each is compared with the bucket's smallest id: pairs that the
+   population count of the XORed sketches does not rule out are confirmed on their full sets, and
+   components come from star contraction on the link table.
+4. A bucket that still holds several components is checked across them, in blocks of bounded members and bytes:
+   pairs pass the sketches, are left to the first band that they share, and are confirmed on their full sets
+   where they meet. Only a link that joins two components leaves the task, so that what is written is
+   bounded by the members, though all pairs across components are looked at. Components are then joined.
 
 At a similarity of 0.85 a pair misses all bands with probability 5e-7; the sketch filter lies five standard
 deviations beyond the expectation at that similarity.
@@ -29,9 +30,8 @@ from .components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SKETCH_BITS, BINS = 2048, 1024
-BLOCK = 256
-#: Partners of a member in each round of step 3; None: all.
-ROUNDS = (4, 32, 256, None)
+#: Members of a bucket, and bytes of their sets, that one task of step 4 has of each of its two blocks, about.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 _K = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,12 +122,14 @@ def _sign(batches):
 
 
 def _load_sets(batches):
-    """(_id, text) -> id and its set as sorted 64-bit values."""
+    """(_id, text) -> id, digest and set as sorted 64-bit values."""
     for batch in batches:
         ids, texts = batch.column(0), common.as_bytes(batch.column(1))
         for i, j in common.pieces([len(t) + 1 for t in texts]):
             sets = shingle_sets(texts[i:j])
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            raw = [s.tobytes() for s in sets]
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(raw, pa.binary())], ["id", "d1", "d2", "shingles"])
 
 
 def _confirm(percent: int):
@@ -164,25 +166,42 @@ def _within(similarity: float):
     return within
 
 
-def _across(similarity: float, most: int | None):
-    """Members of one pair of blocks of a bucket -> pairs of different components within the sketch limit:
-    for each member those with the ``most`` least different sketches."""
+def _across(similarity: float, percent: int):
+    """Members of one pair of blocks of a bucket -> links between different components, at most one fewer than
+    there are components. A pair that shares an earlier band too is left to that band's bucket."""
 
     def across(table: pa.Table) -> pa.Table:
         side, ids, comp, size = (table.column(c).to_numpy() for c in ("side", "id", "comp", "n"))
-        flat = table.column("sketch").combine_chunks()
-        sketch = flat.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        found = [np.empty((0, 2), np.int64)]
+        sketch, bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("sketch", "bands"))
+        sketch, key = sketch.view(np.uint64), table.column("key")[0].as_py()
+        raw = table.column("shingles").to_pylist()
+        owner = np.repeat(np.arange(len(ids)), [len(x) // 8 for x in raw])
+        values, dense = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        starts = np.searchsorted(owner, np.arange(len(ids)))
+        del raw, owner
+        ends = np.append(starts[1:], len(dense))
+        _, root = np.unique(comp, return_inverse=True)
+        mine = np.zeros(len(values), np.int32)
+        links = []
         for i in range(len(ids)):
             # side 2: the block met with itself
-            others = np.flatnonzero((side == 2 if side[i] == 2 else side == 1 - side[i]) & (comp != comp[i]))
+            others = np.flatnonzero(((side == 2) & (np.arange(len(ids)) > i) if side[i] == 2 else side > side[i]) & (root != root[i]))
+            if not len(others):
+                continue
             z = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
-            near = np.flatnonzero(z <= sketch_limit(size[others] + size[i], similarity))
-            if most is not None and len(near) > most:
-                near = near[np.argsort(z[near], kind="stable")[:most]]
-            other = ids[others[near]]
-            found.append(np.stack([np.minimum(other, ids[i]), np.maximum(other, ids[i])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+            others = others[z <= sketch_limit(size[others] + size[i], similarity)]
+            same = bands[others] == bands[i]
+            others = others[bands[i][same.argmax(axis=1)] == key] if len(others) else others
+            if not len(others):
+                continue
+            mine[dense[starts[i] : ends[i]]] = 1
+            both = np.array([mine[dense[starts[j] : ends[j]]].sum() for j in others])
+            mine[dense[starts[i] : ends[i]]] = 0
+            for j in others[100 * both >= percent * (size[others] + size[i] - both)]:
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return across
@@ -213,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = common.store(marked.join(met.hint("merge"), "id", "left_semi").select("id", "n", "sketch"), "near-sketches")
 
     # the joins are merge joins at any size: neither side is bounded
-    sets = common.store(narrow.withColumnRenamed("_id", "id").join(met.hint("merge"), "id", "left_semi").select("id", "_text").mapInArrow(_load_sets, "id long, shingles binary"), "near-sets")
+    sets = common.store(narrow.withColumnRenamed("_id", "id").join(met.hint("merge"), "id", "left_semi").select("id", "_text").mapInArrow(_load_sets, "id long, d1 long, d2 long, shingles binary"), "near-sets")
     similarity = percent / 100
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,26 +246,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = star.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "na", "nb", "sx", "sy").mapInArrow(_within(similarity), "a long, b long").distinct()
     comps = connected_components(confirmed(star, sets))
 
-    tested = None
-    for most in ROUNDS:
-        # buckets that still hold several components
-        at = members.where("size > 2").select("key", "id", "size").join(comps, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
-        open_keys = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        rest = common.store(at.join(open_keys, "key", "left_semi"), "near-open")
-        if rest.isEmpty():
-            break
-        if tested is None:
-            here = rest.select("id").distinct()
-            few_sets, few_sketches = common.store(sets.join(here, "id", "left_semi"), "near-open-sets"), common.store(sketches.join(here, "id", "left_semi"), "near-open-sketches")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rest = rest.join(few_sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # buckets that still hold several components
+    at = members.where("size > 2").select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    open_keys = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rest = common.store(at.join(open_keys.hint("merge"), "key", "left_semi"), "near-open")
+    if not rest.isEmpty():
+        here = rest.select("id").distinct()
+        # a document that was given with several texts has a row for each
+        known_sets = sets.join(here.hint("merge"), "id", "left_semi").dropDuplicates(["id", "d1", "d2"])
+        known_sets = known_sets.join(marked.select("id", "d1", "d2", "n", "sketch", "bands").dropDuplicates(["id", "d1", "d2"]).hint("merge"), ["id", "d1", "d2"])
+        full = rest.join(known_sets.hint("merge"), "id")
+        weight = rest.join(marked.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+        full = full.join(weight.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-        rest = rest.select("key", "id", "comp", "n", "sketch", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), side.alias("side"))
-        pairs = rest.groupBy("key", "p", "q").applyInArrow(_across(similarity, most), "a long, b long").distinct()
-        pairs = common.store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = common.store(confirmed(pairs, few_sets), "near-more")
+        full = full.select("key", "id", "comp", "n", "sketch", "bands", "shingles", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), side.alias("side"))
+        more = common.store(full.groupBy("key", "p", "q").applyInArrow(_across(similarity, percent), "a long, b long").distinct(), "near-more")
         if not more.isEmpty():
             comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
