@@ -28,6 +28,8 @@ HELD = 1 << 20
 SHARD_ROWS = 4_000_000
 #: A band reaches so many interquartile ranges beyond the quartiles, more for a short text.
 REACH, SHORT = 3.0, 400.0
+#: Bands of so many languages are broadcast; beyond, they are joined.
+BROADCAST_LANGS = 10_000
 _CACHE_BITS = 20
 _SYMBOLS = common._table(lambda b: b in b"#*$%&|<>")
 
@@ -280,7 +282,10 @@ def judge(docs: DataFrame, manifest: list[dict], id_col: str = "doc_id", text_co
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
     scored = common.store(rows.mapInArrow(run, f"_id {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_ppl double"), "kn-scores")
     bands = scored.groupBy("_lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 2000).alias("q"))
-    bands = bands.select("_lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    bands = common.store(bands.select("_lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")), "kn-bands")
+    if bands.count() <= BROADCAST_LANGS:
+        # a row for each language; so documents aren't moved to their language's task
+        bands = F.broadcast(bands)
     reach = REACH * (F.col("q3") - F.col("q1") + 0.01) * F.sqrt(1 + SHORT / F.greatest(F.col("n_chars"), F.lit(1)))
     out = scored.join(bands, "_lang").withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
