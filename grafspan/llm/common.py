@@ -54,7 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder of this machine used.
     """
     sc = spark.sparkContext
-    uri = sc.getConf().get("spark.checkpoint.dir", None)
+    uri = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not uri:
         with _LOCK:
             uri = _FALLBACK.setdefault(sc.applicationId, "file://" + os.path.join(tempfile.gettempdir(), f"grafspan-{uuid.uuid4().hex}"))
