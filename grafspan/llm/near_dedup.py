@@ -255,12 +255,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a document that was given with several texts has a row for each
         known_sets = sets.join(here.hint("merge"), "id", "left_semi").dropDuplicates(["id", "d1", "d2"])
         known_sets = known_sets.join(marked.select("id", "d1", "d2", "n", "sketch", "bands").dropDuplicates(["id", "d1", "d2"]).hint("merge"), ["id", "d1", "d2"])
-        full = rest.join(known_sets.hint("merge"), "id")
+        # blocks are dealt on narrow rows; a bucket's sets are only moved to the block pairs that need them
         weight = rest.join(marked.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-        full = full.join(weight.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = rest.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-        full = full.select("key", "id", "comp", "n", "sketch", "bands", "shingles", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), side.alias("side"))
+        dealt = dealt.select("key", "id", "comp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), side.alias("side"))
+        full = dealt.join(known_sets.hint("merge"), "id")
         more = common.store(full.groupBy("key", "p", "q").applyInArrow(_across(similarity, percent), "a long, b long").distinct(), "near-more")
         if not more.isEmpty():
             comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
