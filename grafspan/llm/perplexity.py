@@ -27,7 +27,7 @@ ORDER = 4
 HELD = 1 << 20
 SHARD_ROWS = 4_000_000
 #: A band reaches so many interquartile ranges beyond the quartiles, more for a short text.
-REACH, SHORT = 3.0, 400.0
+REACH, SHORT = 1.5, 400.0
 #: Bands of so many languages are broadcast; beyond, they are joined.
 BROADCAST_LANGS = 10_000
 _CACHE_BITS = 20

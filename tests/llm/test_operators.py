@@ -346,3 +346,12 @@ def test_rules_on_odd_rows(spark, odd, empty):
     rows = perplexity.judge(odd, manifest).collect()
     assert len(rows) == len(ODD)
     assert perplexity.judge(empty, perplexity.store_model(perplexity.model_entries(empty.select("text")))).collect() == []
+
+
+def test_bands_reject_junk_and_keep_clean_text(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    judged = [(labels[r.doc_id], r.kept) for r in perplexity.op10_quality_rules(spark, sf).collect() if r.doc_id in labels and not r.base_failed]
+    junk, clean = ([kept for y, kept in judged if y == label] for label in (0, 1))
+    assert len(junk) > 20 and sum(junk) <= 0.5 * len(junk)
+    assert len(clean) > 200 and sum(clean) >= 0.99 * len(clean)
