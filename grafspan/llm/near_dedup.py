@@ -1,7 +1,7 @@
 """Near-duplicate detection: banded MinHash, odd sketches as filter, links confirmed on full sets.
 
 1. A pass over the texts makes each document's shingle set (5-word runs of A-Z lower-cased words), its
-   digest, 125 MinHash values in 25 bands of 5, and an odd sketch: the least hash in each of 1024 bins is
+   digest, MinHash values in bands (125 in 25 bands of 5 at a similarity of 0.85, 140 in 35 of 4 at 0.8), and an odd sketch: the least hash in each of 1024 bins is
    a MinHash sample, and all samples are folded into a parity bitmap of 2048 bits.
 2. Documents with equal sets form a class at once; only class representatives go on.
 3. Representatives meet in band buckets. Each is compared with the bucket's smallest id: pairs that the
@@ -12,12 +12,15 @@
    where they meet. Only a link that joins two components leaves the task, so that what is written is
    bounded by the members, though all pairs across components are looked at. Components are then joined.
 
-At a similarity of 0.85 a pair misses all bands with probability 5e-7; the sketch filter lies five standard
-deviations beyond the expectation at that similarity.
+At a similarity of 0.85 a pair misses all bands with probability 5e-7, at a lower threshold's own with 1e-8 at most;
+the sketch filter lies five standard deviations beyond the expectation at the threshold.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,10 +35,20 @@ BANDS, ROWS = 25, 5
 SKETCH_BITS, BINS = 2048, 1024
 #: Members of a bucket, and bytes of their sets, that one task of step 4 has of each of its two blocks, about.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
-_K = BANDS * ROWS
-_RNG = np.random.Generator(np.random.PCG64(7))
-_MUL = _RNG.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**64, _K, dtype=np.uint64)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, values in each) for links from this similarity on."""
+    if percent >= 85:
+        return BANDS, ROWS
+    return math.ceil(math.log(1e-8) / math.log1p(-((percent / 100) ** 4))), 4
+
+
+@functools.cache
+def _hashes(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of k MinHash functions."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    return rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**64, k, dtype=np.uint64)
 
 
 def sketch_limit(sizes: np.ndarray, similarity: float, deviations: float = 5) -> np.ndarray:
@@ -73,18 +86,19 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, sketch words) of non-empty sets."""
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    low = np.empty((len(sets), _K), np.uint64)
+    mul, add = _hashes(bands * rows)
+    low = np.empty((len(sets), bands * rows), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(_K):
-            low[:, k] = np.minimum.reduceat(flat * _MUL[k] + _ADD[k], starts)
+        for k in range(bands * rows):
+            low[:, k] = np.minimum.reduceat(flat * mul[k] + add[k], starts)
         low = common.mix(low)
-        bands = low.reshape(len(sets), BANDS, ROWS) * common.ORDER[:ROWS]
-        bands = common.mix(bands.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * common.ORDER[9])
-    return bands, np.concatenate([_sketches(sets[i : i + 512]) for i in range(0, len(sets), 512)])
+        keys = low.reshape(len(sets), bands, rows) * common.ORDER[:rows]
+        keys = common.mix(keys.sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * common.ORDER[9])
+    return keys, np.concatenate([_sketches(sets[i : i + 512]) for i in range(0, len(sets), 512)])
 
 
 def _sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -104,21 +118,26 @@ def _longs(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
 
 
-def _sign(batches):
+def _sign(percent: int):
     """(_id, text) -> id, size, digest in two words, band keys, sketch."""
-    for batch in batches:
-        ids, texts = batch.column(0), common.as_bytes(batch.column(1))
-        for i, j in common.pieces([len(t) + 1 for t in texts]):
-            sets = shingle_sets(texts[i:j])
-            full = [k for k, s in enumerate(sets) if len(s)]
-            bands, sketch = np.zeros((j - i, BANDS), np.uint64), np.zeros((j - i, SKETCH_BITS // 64), np.uint64)
-            if full:
-                bands[full], sketch[full] = _signatures([sets[k] for k in full])
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _longs(bands), _longs(sketch)],
-                ["_id", "n", "d1", "d2", "bands", "sketch"],
-            )
+    n_bands, n_rows = banding(percent)
+
+    def sign(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), common.as_bytes(batch.column(1))
+            for i, j in common.pieces([len(t) + 1 for t in texts]):
+                sets = shingle_sets(texts[i:j])
+                full = [k for k, s in enumerate(sets) if len(s)]
+                bands, sketch = np.zeros((j - i, n_bands), np.uint64), np.zeros((j - i, SKETCH_BITS // 64), np.uint64)
+                if full:
+                    bands[full], sketch[full] = _signatures([sets[k] for k in full], n_bands, n_rows)
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _longs(bands), _longs(sketch)],
+                    ["_id", "n", "d1", "d2", "bands", "sketch"],
+                )
+
+    return sign
 
 
 def _load_sets(batches):
@@ -219,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     common.ship(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    signed = common.store(narrow.mapInArrow(_sign, "_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-signatures")
+    signed = common.store(narrow.mapInArrow(_sign(percent), "_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-signatures")
     known = signed.where("n > 0 AND _id IS NOT NULL")
     classes = common.store(known.groupBy("d1", "d2").agg(F.min("_id").alias("id")), "near-classes")
     # rows that share id and set are one; a class's signature is that of its representative
@@ -272,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One document of each group, columns unchanged: that with the smallest id (of repeated rows of it, one).
 
     Documents without an id can't be told apart by it and stay.
@@ -287,4 +306,4 @@ def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)

@@ -98,3 +98,21 @@ def test_very_long_texts(spark, length):
     rng = random.Random(1)
     base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
     check(spark, list(enumerate([" ".join(base), " ".join(base[:-500]), " ".join(base[: length // 2])])))
+
+
+def test_removal_links_from_four_fifths_on(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 120, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        cut = rng.randint(20, 39)  # of 200 shingles so many fewer: 0.805 to 0.9
+        rows += [(k, " ".join(base)), (k + 1, " ".join(base[:-cut]))]
+    df = spark.createDataFrame([(i, t, "extra") for i, t in rows], SCHEMA)
+    assert {r.doc_id for r in near_dedup.remove_near_duplicates(df).collect()} == {i for i, _ in rows if i % 2 == 0}
+    assert {r.doc_id for r in near_dedup.near_duplicates(df, percent=80).where("kept").collect()} == {i for i, (_, c) in brute(rows, 80).items() if i == c}
+
+
+def test_bands_miss_few_pairs_at_their_threshold():
+    for percent in (70, 80, 85, 90):
+        bands, rows = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 6e-7
