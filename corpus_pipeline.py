@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grafspan.llm import common, decontaminate, language, near_dedup, piece_sampling, quality
 
-#: Documents below this calibrated score go; lower than the 0.5 of a prediction, to keep doubtful clean ones.
-LEAST_QUALITY = 0.25
+#: Documents below this calibrated score go: those that the classifier rejects.
+LEAST_QUALITY = 0.5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,12 @@ def test_stages_keep_what_their_operators_keep(spark, sf):
                 assert vocabulary.decode(r.ids).decode() == texts[r.doc_id].replace("▁", " ")
 
 
+def test_quality_stage_drops_what_the_classifier_rejects(spark):
+    sf = "/root/testdata/sf0.01"
+    kept = {r.doc_id for r in corpus_pipeline.keep_good(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in quality.op3_quality(spark, sf).collect() if r.predicted == 1}
+
+
 def test_stages_on_nulls_and_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "a", 0), (-2, None, "en", "a", 0)], docs.schema)
