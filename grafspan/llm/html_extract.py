@@ -162,7 +162,7 @@ def features_of(blocks: list[Block]) -> np.ndarray:
         tests = (
             ("first", k == 0), ("last", k == len(blocks) - 1), ("hint in article", bool(b.hints - {"main"}) and article), ("no landmark", not article and not b.path & _BOILER), ("links>.5", share > 0.5), ("links>.9", share > 0.9),
             ("words<4", words < 4), ("words<10", words < 10), ("words>=25", words >= 25), ("words>=60", words >= 60), ("ends", b.text[-1] in ".!?:\"”»"), ("commas", "," in b.text), ("copyright", "©" in b.text or "copyright" in b.text.lower()),
-            ("upper", b.text.isupper()), ("digits", sum(c.isdigit() for c in b.text[:200]) > 0.3 * min(200, len(b.text))), ("only link item", share > 0.9 and "li" in b.path),
+            ("upper", b.text.isupper()), ("digits", sum(c.isdigit() for c in b.text) > 0.3 * len(b.text)), ("only link item", share > 0.9 and "li" in b.path),
         )
         on += [_AT[f] for f, yes in tests if yes]
         x[k, on] = 1

@@ -186,6 +186,11 @@ def test_extraction_of_a_page(spark):
     assert got[:4] == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0)]
 
 
+def test_digits_are_counted_over_the_whole_block():
+    blocks = html_extract.blocks_of(f"<p>{'word ' * 50}{'1234567 ' * 60}</p><p>{'1234567 ' * 30}{'word ' * 300}</p>")
+    assert [x[html_extract.FEATURES.index("digits")] for x in html_extract.features_of(blocks)] == [1, 0]
+
+
 # ---------------------------------------------------------------- 6
 @pytest.fixture(scope="module")
 def sampler():
