@@ -1,12 +1,17 @@
 """Main-text extraction: a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks: maximal runs of text between block-level tags. Each block has features
-from its ancestors (tags, roles, class and id words) and its text (length, link share, punctuation).
+from its ancestors (tags, roles, class and id words), its text (length, link share, punctuation) and the blocks
+beside it.
 The field has the two labels main and other; it is trained on labelled pages by gradient ascent on
 the regularised conditional likelihood, and pages are decoded by Viterbi.
 
-The labelled pages are written by ``labelled_pages``: articles in several layouts with menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments, the label of each block being known.
+The labelled pages are written by ``labelled_pages``: articles in many layouts (with and without article tags,
+alone on a page, in tables, as bare text) with menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, the label of each block being known.
+
+Reading a page takes time in proportion to its length, whatever its markup: tags are found by plain searches, open
+elements are counted by name, and at most DEPTH are open at once.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -22,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-TRAIN_PAGES = 240
-#: Elements whose text is never shown, elements without an end tag, and inline elements.
-HIDDEN = {"script", "style", "noscript", "template", "title", "head", "textarea", "svg", "iframe", "object", "select", "button", "canvas", "audio", "video", "math"}
+TRAIN_PAGES = 600
+#: Elements whose content is no text of the page, elements without an end tag, and inline elements.
+HIDDEN = {"script", "style", "template", "title", "head", "iframe", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msub", "msup", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: What may stand in a head; any other start tag ends it.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title"}
 #: Start tags that end an open element of these names.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -43,129 +51,250 @@ HINTS = {
     "main": {"article", "content", "main", "post", "entry", "story", "body", "text", "prose", "page"},
 }
 _HINT_OF = {w: k for k, ws in HINTS.items() for w in ws}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_QUOTE = re.compile(r"=\s*([\"'])")
 _WORD = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in _RAW}
-
-ANCESTORS = ["article", "main", "section", "div", "p", "li", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "h1", "h2", "h3", "h4", "dialog", "fieldset", "address", "dl", "details"]
-FEATURES = ["bias", "first", "last", *(f"in:{t}" for t in ANCESTORS), *(f"hint:{h}" for h in HINTS), "hint in article", "no landmark", "links>.5", "links>.9", "words<4", "words<10", "words>=25", "words>=60", "ends", "commas", "copyright", "upper", "digits", "only link item"]
+_RAW = {"script", "style", "textarea", "title", "iframe"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in _RAW}
+#: Elements beyond this depth leave their text, but not their name, in the path of what is in them; as browsers do.
+DEPTH = 512
+#: An element that holds as much of a page's text, in as many blocks, is its frame: what it is called tells nothing.
+FRAME_SHARE, FRAME_BLOCKS = 0.95, 4
+
+ANCESTORS = ["article", "main", "section", "div", "p", "li", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "h1", "h2", "h3", "h4", "dialog", "fieldset", "address", "dl", "details", "button", "select", "textarea", "noscript", "svg", "menu"]
+_TESTS = ["first", "last", "alone", "of few", "hint in article", "no landmark", "beside a landmark", "in no box", "links>.5", "links>.9", "words<4", "words<10", "words>=25", "words>=60", "ends", "commas", "copyright", "upper", "digits", "only link item", "hidden", "near prose", "near links"]
+FEATURES = ["bias", *(f"in:{t}" for t in ANCESTORS), *(f"hint:{h}" for h in HINTS), *_TESTS]
 _AT = {f: k for k, f in enumerate(FEATURES)}
 
 
-class Block:
-    __slots__ = ("linked", "path", "hints", "text")
+class Element:
+    """An open or closed element; size and blocks: the text and the number of the blocks in it."""
+
+    __slots__ = ("blocks", "hidden", "hints", "names", "own", "parent", "size", "tag")
+
+    def __init__(self, tag: str, parent: Element | None, own: frozenset, hidden: bool):
+        self.tag, self.parent, self.own, self.hidden = tag, parent, own, hidden
+        self.size = self.blocks = 0
+
 
-    def __init__(self, text: str, linked: int, path: frozenset, hints: frozenset):
-        self.text, self.linked, self.path, self.hints = text, linked, path, hints
+class Block:
+    __slots__ = ("element", "linked", "text")
+
+    def __init__(self, text: str, linked: int, element: Element):
+        self.text, self.linked, self.element = text, linked, element
+
+    @property
+    def path(self) -> frozenset:
+        return self.element.names
+
+    @property
+    def hints(self) -> frozenset:
+        return self.element.hints
+
+    @property
+    def hidden(self) -> bool:
+        return self.element.hidden
+
+
+def _tag_end(page: str, at: int, closing: dict[str, bool]) -> int:
+    """The place of the > that ends the tag whose name ends at ``at``. Quotes count after = only; one that is never
+    closed is no quote, and that is looked for once a page (closing: whether another of each quote may come)."""
+    gt = page.find(">", at)
+    while gt >= 0:
+        quote = _QUOTE.search(page, at, gt)
+        if quote is None:
+            return gt
+        mark = quote[1]
+        close = page.find(mark, quote.end()) if closing[mark] else -1
+        if close < 0:
+            closing[mark] = False
+            # the rest of the tag may still hold quotes of the other kind
+            at = quote.end()
+        else:
+            at = close + 1
+            if at > gt:
+                gt = page.find(">", at)
+    return len(page)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order; hidden elements and comments are left out."""
+    """Leaf blocks in page order. Scripts, styles, titles and comments are no text; all else is."""
     out: list[Block] = []
-    # tag, hints of it and its ancestors, tags of it and its ancestors, whether hidden, whether it is a link
-    stack: list[tuple[str, frozenset, frozenset, bool]] = [("", frozenset(), frozenset(), False)]
+    root = Element("", None, frozenset(), False)
+    made = [root]
+    stack = [root]
+    skip: list[bool] = [False]
+    open_ = Counter()
     parts: list[str] = []
-    linked, links = 0, 0
-    where = stack[0]
+    # (text, blocks) so far when each element was opened
+    begun: list[tuple[int, int]] = [(0, 0)]
+    closing = {'"': True, "'": True}
+    linked = total = 0
+    where = root
 
     def close():
-        nonlocal linked
+        nonlocal linked, total
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, where[2], where[1]))
-        parts.clear()
+                out.append(Block(text, linked, where))
+                total += len(text)
+            parts.clear()
         linked = 0
 
+    def pop(k: int):
+        """Close the elements from the k-th on."""
+        for e, (text, blocks) in zip(stack[k:], begun[k:], strict=True):
+            e.size, e.blocks = total - text, len(out) - blocks
+            open_[e.tag] -= 1
+        del stack[k:], skip[k:], begun[k:]
+
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        stop, start, attrs, text = m.groups()
-        if text is not None:
-            if not stack[-1][3]:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = end
+        nxt = page[lt + 1 : lt + 2]
+        if lt == at and not (nxt.isalpha() and nxt.isascii() or nxt in ("/", "!", "?") and nxt):
+            # a < that opens nothing is text
+            lt = page.find("<", at + 1)
+            lt = end if lt < 0 else lt
+        elif lt == at and nxt == "/" and not ((c := page[lt + 2 : lt + 3]).isalpha() and c.isascii()):
+            # </ without a name is a comment
+            gt = page.find(">", at)
+            at = end if gt < 0 else gt + 1
+            continue
+        if lt > at:
+            if not skip[-1]:
                 if not parts:
                     where = stack[-1]
-                parts.append(text)
-                if links:
-                    linked += len(text)
-        elif start is not None:
-            tag = start.lower()
-            if tag in VOID:
-                if tag == "br":
-                    parts.append(" ") if parts else None
-                elif tag not in INLINE:
-                    close()
-                continue
+                parts.append(page[at:lt])
+                if open_["a"]:
+                    linked += lt - at
+            at = lt
+            continue
+        if nxt == "!" or nxt == "?":
+            # comments and declarations neither part nor join text
+            stop = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            gt = page.find(stop, at + (4 if stop == "-->" else 2))
+            at = end if gt < 0 else gt + len(stop)
+            continue
+        if nxt == "/":
+            m = _NAME.match(page, at + 2)
+            tag, gt = m[0].lower(), page.find(">", m.end())
+            at = end if gt < 0 else gt + 1
             if tag not in INLINE:
                 close()
-            enders = CLOSES.get(tag)
-            if enders:
+            if open_[tag]:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in enders:
-                        del stack[k:]
+                    if stack[k].tag == tag:
+                        pop(k)
                         break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
+                    if tag in INLINE and stack[k].tag not in INLINE:
                         break
-            elif tag in ENDS_P:
-                # a paragraph ends with what is open in it, up to the nearest other block
+            continue
+        m = _NAME.match(page, at + 1)
+        tag = m[0].lower()
+        gt = _tag_end(page, m.end(), closing)
+        attrs = page[m.end() : gt]
+        at = min(end, gt + 1)
+        if open_["head"] and tag not in IN_HEAD:
+            pop(next(k for k, e in enumerate(stack) if e.tag == "head"))
+        if tag in VOID:
+            if tag == "br":
+                parts.append(" ") if parts else None
+            elif tag not in INLINE:
+                close()
+            continue
+        if tag not in INLINE:
+            close()
+        enders = CLOSES.get(tag)
+        if enders:
+            if any(open_[x] for x in enders):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
+                    if stack[k].tag in enders:
+                        pop(k)
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                         break
-                links = sum(x[0] == "a" for x in stack)
-            _, hints, path, hidden = stack[-1]
-            found = set()
-            for name, a, b, c in _ATTR.findall(attrs) if attrs and not attrs.isspace() else ():
-                value = (a or b or c).lower()
-                name = name.lower()
-                if name in ("class", "id", "role"):
-                    found |= {_HINT_OF[w] for w in _WORD.findall(value) if w in _HINT_OF}
-                elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                    hidden = True
-            if not attrs.rstrip().endswith("/"):
-                stack.append((tag, hints | found if found else hints, path | {tag} if tag not in path else path, hidden or tag in HIDDEN))
-                links += tag == "a"
-                if tag in _RAW:
-                    at = _RAW_END[tag].search(page, at).end()
-                    stack.pop()
-        elif stop is not None:
-            tag = stop.lower()
-            if tag not in INLINE:
-                close()
+        elif tag in ENDS_P and open_["p"]:
+            # a paragraph ends with what is open in it, up to the nearest other block
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    links = sum(x[0] == "a" for x in stack)
+                if stack[k].tag == "p":
+                    pop(k)
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
+                if stack[k].tag not in INLINE:
                     break
-        # comments and declarations neither part nor join text
+        if attrs.endswith("/") and not attrs.endswith("=/"):
+            continue
+        found: set[str] = set()
+        unseen = stack[-1].hidden
+        if attrs and not attrs.isspace() and tag not in ("html", "body"):
+            for name, a, b, c in _ATTR.findall(attrs):
+                name, value = name.lower(), (a or b or c).lower()
+                if name in ("class", "id", "role"):
+                    found |= {_HINT_OF[w] for w in _WORD.findall(value) if w in _HINT_OF}
+                elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+                    unseen = True
+        raw_from = at
+        if tag in _RAW:
+            m = _RAW_END[tag].search(page, at)
+            raw_to = m.start() if m else end
+            gt = page.find(">", raw_to)
+            at = end if gt < 0 or not m else gt + 1
+        if len(stack) <= DEPTH:
+            e = Element(tag, stack[-1], frozenset(found), unseen)
+            made.append(e)
+            if tag in _RAW:
+                if tag not in HIDDEN and not skip[-1]:
+                    where = e
+                    parts.append(page[raw_from:raw_to])
+                    close()
+            else:
+                stack.append(e)
+                skip.append(skip[-1] or tag in HIDDEN)
+                begun.append((total, len(out)))
+                open_[tag] += 1
     close()
+    pop(0)
+    _settle(made, total)
     return out
 
 
-_BOILER = {"nav", "header", "footer", "aside", "form", "dialog"}
+def _settle(elements: list[Element], total: int) -> None:
+    """names and hints: of an element and its ancestors, without what the frame of a page is called."""
+    for e in elements:
+        frame = e.size >= FRAME_SHARE * total and e.blocks >= FRAME_BLOCKS
+        own = e.own & {"main"} if frame else e.own
+        name = () if frame and e.tag in ("form", "fieldset") else (e.tag,)
+        up, hints = (e.parent.names, e.parent.hints) if e.parent else (frozenset(), frozenset())
+        e.names = up if not name or e.tag in up else up | {e.tag}
+        e.hints = hints | own if not own <= hints else hints
+
+
+_BOILER = {"nav", "header", "footer", "aside", "form", "dialog", "button", "select", "textarea", "noscript", "svg", "menu"}
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)), np.float32)
+    landmark = [bool(b.path & {"article", "main"}) for b in blocks]
+    share = [b.linked / max(1, len(b.text)) for b in blocks]
+    size = [b.text.count(" ") + 1 for b in blocks]
+    any_landmark, n = any(landmark), len(blocks)
+    fixed: dict[Element, list[int]] = {}
     for k, b in enumerate(blocks):
-        on = [0, *(_AT[f"in:{t}"] for t in ANCESTORS if t in b.path), *(_AT[f"hint:{h}"] for h in b.hints)]
-        words = b.text.count(" ") + 1
-        share = b.linked / max(1, len(b.text))
-        article = "article" in b.path or "main" in b.path
+        if b.element not in fixed:
+            fixed[b.element] = [0, *(_AT[f"in:{t}"] for t in ANCESTORS if t in b.path), *(_AT[f"hint:{h}"] for h in b.hints)]
+        boxed = bool(b.path & _BOILER or b.hints - {"main"})
+        near = [j for j in (k - 1, k + 1) if 0 <= j < n]
         tests = (
-            ("first", k == 0), ("last", k == len(blocks) - 1), ("hint in article", bool(b.hints - {"main"}) and article), ("no landmark", not article and not b.path & _BOILER), ("links>.5", share > 0.5), ("links>.9", share > 0.9),
-            ("words<4", words < 4), ("words<10", words < 10), ("words>=25", words >= 25), ("words>=60", words >= 60), ("ends", b.text[-1] in ".!?:\"”»"), ("commas", "," in b.text), ("copyright", "©" in b.text or "copyright" in b.text.lower()),
-            ("upper", b.text.isupper()), ("digits", sum(c.isdigit() for c in b.text) > 0.3 * len(b.text)), ("only link item", share > 0.9 and "li" in b.path),
+            k == 0, k == n - 1, n == 1, n <= 3, bool(b.hints - {"main"}) and landmark[k], not landmark[k] and not b.path & _BOILER, any_landmark and not landmark[k], not boxed, share[k] > 0.5, share[k] > 0.9,
+            size[k] < 4, size[k] < 10, size[k] >= 25, size[k] >= 60, b.text[-1] in ".!?:\"”»。！？", "," in b.text or "、" in b.text or "，" in b.text, "©" in b.text or "copyright" in b.text.lower(), b.text.isupper(),
+            sum(c.isdigit() for c in b.text) > 0.3 * len(b.text), share[k] > 0.9 and "li" in b.path, b.hidden, any(size[j] >= 25 and share[j] < 0.3 for j in near), any(share[j] > 0.9 for j in near),
         )
-        on += [_AT[f] for f, yes in tests if yes]
-        x[k, on] = 1
+        x[k, fixed[b.element]] = 1
+        x[k, [_AT[f] for f, yes in zip(_TESTS, tests, strict=True) if yes]] = 1
     return x
 
 
@@ -248,72 +377,140 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str, list
     def prose(most=6):
         return " ".join(sentence() for _ in range(r.randint(1, most)))
 
-    def page():
-        parts, labels = [], []
-
-        def put(markup, label):
-            parts.append(markup)
-            labels.extend([label] * len(blocks_of(markup)))
+    def links(k):
+        return "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k))
 
-        def raw(markup):
-            parts.append(markup)
+    def box(tag, names, inner):
+        return f'<{tag} {r.choice(["class", "id"])}="{r.choice(names)}">{inner}</{tag}>'
 
-        def links(k):
-            return "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k))
+    def maybe(p):
+        return r.random() < p
 
-        def box(tag, names, inner):
-            kind = r.choice(["class", "id"])
-            return f'<{tag} {kind}="{r.choice(names)}">{inner}</{tag}>'
-
-        raw(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body>")
-        if r.random() < 0.5:
-            put(box("div", ["cookie-notice", "consent", "alert", "site-notice"], f"<p>{prose(2)}</p>"), 0)
-        if r.random() < 0.5:
-            put(f"<header><div class='logo'>{words(1, 3)}</div><p>{sentence(2, 6)}</p></header>", 0)
-        if r.random() < 0.8:
-            inner = f"<ul>{links(r.randint(2, 8))}</ul>"
-            put(r.choice([f"<nav>{inner}</nav>", box("div", ["menu", "navbar", "main-nav"], inner)]), 0)
-        if r.random() < 0.6:
-            put(box("div", ["ad", "advert", "ads banner", "sponsored"], prose(3) if r.random() < 0.5 else f"<p>{prose(2)}</p>"), 0)
-        if r.random() < 0.35:
-            put(f"<aside><h3>{words(1, 3)}</h3><p>{prose(2)}</p></aside>", 0)
-        kind = r.random()
-        opening, closing = ("<article>", "</article>") if kind < 0.5 else ("<main>", "</main>") if kind < 0.65 else ('<div class="content">', "</div>") if kind < 0.8 else ('<div id="post">', "</div>") if kind < 0.9 else ("<div>", "</div>")
-        raw(opening)
-        if r.random() < 0.85:
+    def body(put, most=9):
+        """The blocks of an article, at times with others between them."""
+        if maybe(0.8):
             put(f"<h1>{words(2, 10)}</h1>", 1)
-        for _ in range(r.randint(1, 9)):
+        if maybe(0.12):
+            put(box("p", ["byline", "meta", "date"], words(2, 5)), 1)
+        for _ in range(r.randint(1, most)):
             x = r.random()
-            if x < 0.62:
+            if x < 0.55:
                 put(f"<p>{prose()}</p>", 1)
-            elif x < 0.70:
-                put(f"<p><b>{sentence()}<br>", 1)
-            elif x < 0.75:
-                put(f"<h2>{words(1, 5)}</h2>", 1)
-            elif x < 0.80:
+            elif x < 0.60:
+                put(f"<p><b>{sentence()}</b><br>{prose(2)}", 1)
+            elif x < 0.64:
+                put(f"<p>{sentence()} <a href='/{word()}'>{words(1, 4)}</a> {prose(2)}</p>", 1)
+            elif x < 0.69:
+                put(f"<h{r.randint(2, 4)}>{words(1, 5)}</h2>", 1)
+            elif x < 0.74:
                 put("<ul>" + "".join(f"<li>{sentence(2, 9)}</li>" for _ in range(r.randint(2, 4))) + "</ul>", 1)
-            elif x < 0.84:
+            elif x < 0.78:
                 put(f"<blockquote>{prose(2)}</blockquote>", 1)
-            elif x < 0.88:
+            elif x < 0.81:
                 put(f"<p>{words(1, 4)}.</p>", 1)
-            elif x < 0.91:
+            elif x < 0.83:
+                put(f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", 1)
+            elif x < 0.85:
+                put("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{r.randint(1, 9999)}</td></tr>" for _ in range(r.randint(2, 3))) + "</table>", 1)
+            elif x < 0.87:
+                put(f"<pre>{words(3, 12)}</pre>", 1)
+            elif x < 0.89:
+                put(f"<div>{prose(3)}</div>", 1)
+            elif x < 0.92:
                 put(box("div", ["ad", "ads", "sponsored", "promo"], prose(2)), 0)
-            elif x < 0.94:
+            elif x < 0.95:
                 put(box("div", ["related", "sidebar", "newsletter", "share"], f"<p>{sentence()}</p>"), 0)
-            elif x < 0.97:
+            elif x < 0.96:
                 put(f"<aside><p>{prose(2)}</p></aside>", 0)
+            elif x < 0.975:
+                put(r.choice([f"<p style='display:none'>{prose(2)}</p>", f"<div hidden><p>{prose(2)}</p></div>", f"<p aria-hidden=true>{sentence()}</p>"]), 0)
             else:
-                put(f"<form><label>{words(1, 3)}</label><p>{sentence()}</p></form>", 0)
-        raw(closing)
-        if r.random() < 0.45:
-            put(box("section", ["comments", "comment-list", "discussion"], f"<h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{prose(3)}</p></div>' for _ in range(r.randint(1, 4)))), 0)
-        if r.random() < 0.3:
+                put(r.choice([f"<form><label>{words(1, 3)}</label><p>{sentence()}</p></form>", f"<button>{words(1, 3)}</button>", f"<form><select><option>{words(1, 2)}<option>{words(1, 2)}</select><textarea>{words(1, 4)}</textarea></form>"]), 0)
+
+    def before(put):
+        if maybe(0.1):
+            put(f'<a class="skip" href="#x">{words(2, 4)}</a>', 0)
+        if maybe(0.4):
+            put(box("div", ["cookie-notice", "consent", "alert", "site-notice"], f"<p>{prose(2)}</p>" + (f"<button>{words(1, 2)}</button>" if maybe(0.5) else "")), 0)
+        if maybe(0.5):
+            put(r.choice([f"<header><div class='logo'>{words(1, 3)}</div><p>{sentence(2, 6)}</p></header>", box("div", ["masthead", "banner", "topbar"], f"<p>{words(1, 5)}</p>"), f"<header><h1>{words(1, 3)}</h1></header>"]), 0)
+        if maybe(0.75):
+            inner = f"<ul>{links(r.randint(2, 8))}</ul>"
+            flat = " | ".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(r.randint(2, 7)))
+            put(r.choice([f"<nav>{inner}</nav>", box("div", ["menu", "navbar", "main-nav"], inner), f"<div>{inner}</div>", f"<p>{flat}</p>", f"<table><tr><td>{flat}</td></tr></table>", inner]), 0)
+        if maybe(0.5):
+            put(box("div", ["ad", "advert", "ads banner", "sponsored"], prose(3) if maybe(0.5) else f"<p>{prose(2)}</p>"), 0)
+        if maybe(0.3):
+            put(f"<aside><h3>{words(1, 3)}</h3><p>{prose(2)}</p></aside>", 0)
+        if maybe(0.15):
+            put(f"<noscript>{sentence()}</noscript>", 0)
+
+    def after(put):
+        if maybe(0.45):
+            inner = f"<h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{prose(3)}</p></div>' for _ in range(r.randint(1, 4)))
+            put(r.choice([box("section", ["comments", "comment-list", "discussion"], inner), box("ol", ["comments", "replies"], "".join(f"<li><b>{word()}</b><p>{prose(3)}</p></li>" for _ in range(r.randint(1, 3))))]), 0)
+        if maybe(0.3):
             put(box("div", ["sidebar", "related-posts", "widget"], f"<h3>{words(1, 2)}</h3><ul>{links(r.randint(2, 5))}</ul><p>{prose(2)}</p>"), 0)
-        if r.random() < 0.3:
+        if maybe(0.3):
             put(f'<form action="/x"><p>{sentence()}</p><input name="q"></form>', 0)
-        if r.random() < 0.8:
-            put(r.choice([f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", f'<div class="footer"><p>&copy; {words(1, 4)}</p><ul>{links(3)}</ul></div>', f"<footer><p>{prose(2)}</p></footer>"]), 0)
-        if r.random() < 0.8:
+        if maybe(0.1):
+            put(f'<div style="display:none">{prose(2)}</div>', 0)
+        if maybe(0.75):
+            put(r.choice([f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", f'<div class="footer"><p>&copy; {words(1, 4)}</p><ul>{links(3)}</ul></div>', f"<footer><p>{prose(2)}</p></footer>", f"<p>&copy; 20{r.randint(10, 30)} {words(1, 4)}</p>", f"<p><small>Copyright {words(1, 4)}. {sentence()}</small></p>"]), 0)
+
+    def page():
+        parts, labels = [], []
+
+        def put(markup, label):
+            parts.append(markup)
+            labels.extend([label] * len(blocks_of(markup)))
+
+        raw = parts.append
+        whole = maybe(0.85)
+        if whole:
+            raw(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body{r.choice(['', ' class="post page sidebar"'])}>")
+        kind = r.random()
+        framed = r.choice(["<div id='wrapper'>", '<form id="form1">', '<div class="page with-sidebar">']) if maybe(0.15) else ""
+        raw(framed)
+        if kind < 0.14:
+            # nothing but the article, short ones too, in any element or none
+            opening, closing = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("", ""), ("<div>", "</div>"), ('<div class="content">', "</div>"), ("<section>", "</section>")])
+            raw(opening)
+            if maybe(0.5):
+                for _ in range(r.randint(1, 2)):
+                    put(r.choice([f"<p>{prose(4)}</p>", f"<p>{sentence(5, 12)}</p>", f"<div>{prose(4)}</div>", f"<section>{prose(3)}</section>"]), 1)
+            else:
+                body(put)
+            raw(closing)
+            if maybe(0.25):
+                put(r.choice([f"<p>&copy; 20{r.randint(10, 30)} {words(1, 4)}</p>", f"<div>Copyright 20{r.randint(10, 30)} {words(1, 4)}</div>"]), 0)
+        elif kind < 0.2:
+            # boxes only
+            before(put)
+            after(put)
+        elif kind < 0.28:
+            # text without paragraphs
+            before(put)
+            for _ in range(r.randint(1, 6)):
+                put(prose(4) + "<hr>", 1)
+            after(put)
+        elif kind < 0.36:
+            # a layout of tables
+            raw("<table><tr><td>")
+            put(f"<ul>{links(r.randint(2, 8))}</ul>", 0)
+            raw("</td><td>")
+            body(put)
+            raw("</td></tr></table>")
+            after(put)
+        else:
+            before(put)
+            opening, closing = r.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>")] * 2 + [('<div class="content">', "</div>")] * 2 + [('<div id="post">', "</div>"), ("<div>", "</div>"), ("<div>", "</div>"), ("", ""), ("<section>", "</section>"), ("<main><article>", "</article></main>")])
+            raw(opening)
+            body(put)
+            raw(closing)
+            after(put)
+        raw({"<": "</form>" if "form" in framed else "</div>"}.get(framed[:1], ""))
+        if whole and maybe(0.8):
             raw("</body></html>")
         return "".join(parts), labels
 
