@@ -1,8 +1,9 @@
 """Near-duplicate detection: banded MinHash, odd sketches as filter, links confirmed on full sets.
 
 1. A pass over the texts makes each document's shingle set (5-word runs of A-Z lower-cased words), its
-   digest, MinHash values in bands (125 in 25 bands of 5 at a similarity of 0.85, 140 in 35 of 4 at 0.8), and an odd sketch: the least hash in each of 1024 bins is
-   a MinHash sample, and all samples are folded into a parity bitmap of 2048 bits.
+   digest, MinHash values in bands (125 in 25 bands of 5 at a similarity of 0.85, 140 in 35 of 4 at 0.8), and an
+   odd sketch: the least hash in each of 1024 bins is a MinHash sample, and all samples are folded into a parity
+   bitmap of 2048 bits.
 2. Documents with equal sets form a class at once; only class representatives go on.
 3. Representatives meet in band buckets. Each is compared with the bucket's smallest id: pairs that the
    population count of the XORed sketches does not rule out are confirmed on their full sets, and
@@ -38,10 +39,13 @@ BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """(bands, values in each) for links from this similarity on."""
+    """(bands, values in each) for links from this similarity on: lower ones need shorter bands, and more of them."""
+    if not 20 <= percent <= 100:
+        raise ValueError("percent is from 20 to 100")
     if percent >= 85:
         return BANDS, ROWS
-    return math.ceil(math.log(1e-8) / math.log1p(-((percent / 100) ** 4))), 4
+    rows = 4 if percent >= 70 else 3 if percent >= 50 else 2
+    return math.ceil(math.log(1e-8) / math.log1p(-((percent / 100) ** rows))), rows
 
 
 @functools.cache
@@ -307,3 +311,17 @@ def remove_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+
+
+def op7_sql() -> str:
+    return f"""
+WITH RECURSIVE lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     d AS (SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM lowered),
+     s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+               JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+     reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+     least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(coalesce(m, d.doc_id), d.doc_id) AS component_id, d.doc_id = least(coalesce(m, d.doc_id), d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON a = d.doc_id"""

@@ -47,11 +47,11 @@ def variants(rng, base, n, edits):
     return out
 
 
-def check(spark, rows, partitions=4):
+def check(spark, rows, partitions=4, percent=85):
     df = spark.createDataFrame([(i, t, "extra") for i, t in rows], SCHEMA).repartition(partitions)
-    got = near_dedup.near_duplicates(df).collect()
+    got = near_dedup.near_duplicates(df, percent=percent).collect()
     assert len(got) == len(rows)
-    want = brute(rows)
+    want = brute(rows, percent)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r
         assert r.kept == (r.doc_id == r.component_id)
@@ -112,7 +112,31 @@ def test_removal_links_from_four_fifths_on(spark):
     assert {r.doc_id for r in near_dedup.near_duplicates(df, percent=80).where("kept").collect()} == {i for i, (_, c) in brute(rows, 80).items() if i == c}
 
 
+@pytest.mark.parametrize("percent", [30, 50, 70, 95])
+def test_other_thresholds_against_all_pairs(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for k in range(0, 160, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        # of 100 shingles so many are shared: on both sides of the threshold
+        keep = max(8, min(104, 4 + percent + rng.randint(-12, 12)))
+        rows += [(k, " ".join(base)), (k + 1, " ".join(base[:keep]))]
+    assert sum(a != b for a, (_, b) in brute(rows, percent).items()) >= 20
+    check(spark, rows, percent=percent)
+
+
 def test_bands_miss_few_pairs_at_their_threshold():
-    for percent in (70, 80, 85, 90):
+    for percent in (20, 30, 50, 60, 70, 80, 85, 90):
         bands, rows = near_dedup.banding(percent)
         assert (1 - (percent / 100) ** rows) ** bands < 6e-7
+    with pytest.raises(ValueError):
+        near_dedup.banding(10)
+
+
+def test_query_against_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(near_dedup.op7_sql()).fetchall()
+    assert sorted(map(tuple, near_dedup.op7_near_dedup(spark, sf).collect())) == sorted(want)
