@@ -34,7 +34,7 @@ from . import common
 
 FRAME_IDS = 1 << 15
 END_ID = 1
-#: Bytes of text in one shard, about.
+#: Bytes of text in one shard, at most, unless one document has more.
 SHARD_BYTES = 32 << 20
 #: Cached spellings in one worker; beyond that the cache starts anew.
 CACHE_WORDS = 250_000
@@ -142,11 +142,10 @@ def _byte_signs() -> dict[int, str]:
 
 
 class Encoder:
-    """ids of whole texts. White space always parts tokens in this vocabulary, so each spelling between ASCII
-    white space is encoded once and kept. A spelling of plain characters is split into the vocabulary's pieces
-    here and its pieces go to the library's model; any other, and one that may hold a special token's text,
-    goes through the whole library. Only for a vocabulary with the normaliser and splitter known here are
-    spellings split; with any other all go to the library.
+    """ids of whole texts. Where white space always parts tokens, as the normaliser and splitter known here make it,
+    each spelling between ASCII white space is encoded once and kept: one of plain characters is split into the
+    vocabulary's pieces here and its pieces go to the library's model; any other, and one that may hold a special
+    token's text, goes through the whole library. With any other vocabulary whole texts go to the library.
     """
 
     def __init__(self, path: str):
@@ -164,7 +163,8 @@ class Encoder:
         kinds = [n["type"] for n in parts["normalizer"].get("normalizers", [])] if parts["normalizer"] else []
         split = parts["pre_tokenizer"].get("pretokenizers", []) if parts["pre_tokenizer"] else []
         pattern = split[0].get("pattern", {}).get("Regex") if len(split) == 2 else None
-        return kinds == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spaces = [n["pattern"].get("Regex") for n in (parts["normalizer"] or {}).get("normalizers", []) if n["type"] == "Replace" and n["content"] == " "]
+        return kinds == ["NFC", "Replace", "Lowercase"] and spaces == [r"\s+"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
@@ -174,14 +174,14 @@ class Encoder:
         return found
 
     def _learn(self, words: list[bytes]) -> None:
-        known, piece, splits, hard = self.known, self._piece, self.splits, []
+        known, piece, hard = self.known, self._piece, []
         for w in words:
-            if splits and w.isalpha():
+            if w.isalpha():
                 # ASCII letters only
                 known[w] = piece(w.lower().decode())
                 continue
             text = w.decode()
-            if splits and b"<|" not in w and _PLAIN.fullmatch(text):
+            if b"<|" not in w and _PLAIN.fullmatch(text):
                 parts = _PIECES.findall(text.lower())
                 known[w] = piece(parts[0]) if len(parts) == 1 else b"".join([piece(x) for x in parts])
             else:
@@ -192,6 +192,9 @@ class Encoder:
                 known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.splits:
+            # white space may be a part of tokens: whole texts go to the library
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         if len(self.pieces) > CACHE_WORDS:
@@ -209,20 +212,27 @@ def _writer(folder: str, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard, total, first = Encoder(path), ShardWriter(), 0, None
+        def done(shard, number):
+            uri = f"{folder}/{uuid.uuid4().hex}.tok"
+            common.put_file(uri, shard.finish())
+            n = sum(d[2] for d in shard.docs)
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([number], pa.int64()), pa.array([n], pa.int64()), pa.array([len(shard.docs)], pa.int64())], ["uri", "number", "n_ids", "n_docs"])
+
+        encoder, shard, size, number = Encoder(path), ShardWriter(), 0, 0
         for b in batches:
             for at in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(at, ROWS_AT_ONCE)
                 ids, texts = part.column(0).to_pylist(), common.as_bytes(part.column(1))
                 for i, j in common.pieces([len(t) + 1 for t in texts]):
-                    for doc, data in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True):
-                        first = first or (doc is not None, doc)
+                    for doc, text, data in zip(ids[i:j], texts[i:j], encoder.encode(texts[i:j]), strict=True):
+                        if shard.docs and size + len(text) > SHARD_BYTES:
+                            # ranges are uneven; a shard and what a task holds of it are bounded all the same
+                            yield done(shard, number)
+                            shard, size, number = ShardWriter(), 0, number + 1
                         shard.add(doc, data + tail)
-                        total += len(data) // 4 + 1
+                        size += len(text)
         if shard.docs:
-            uri = f"{folder}/{uuid.uuid4().hex}.tok"
-            common.put_file(uri, shard.finish())
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([first[1]], pa.int64()), pa.array([total], pa.int64()), pa.array([len(shard.docs)], pa.int64())], ["uri", "first_id", "n_ids", "n_docs"])
+            yield done(shard, number)
 
     return write
 
@@ -238,11 +248,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     folder = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     n = max(1, -(-size // SHARD_BYTES))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
-    shards = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_writer(folder, vocabulary), "uri string, first_id long, n_ids long, n_docs long")
+    shards = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_writer(folder, vocabulary), "uri string, number long, n_ids long, n_docs long")
     # the number of shards is bounded by the input's size over SHARD_BYTES; only names and counts come here
     found = common.store(shards.withColumn("place", F.spark_partition_id()), "token-manifest")
     base, out = 0, []
-    for r in sorted(found.collect(), key=lambda r: r.place):
+    for r in sorted(found.collect(), key=lambda r: (r.place, r.number)):
         out.append({"uri": r.uri, "base": base, "n_ids": r.n_ids, "n_docs": r.n_docs})
         base += r.n_ids
     return out
