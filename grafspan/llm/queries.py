@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": url_filter.op1_sql()}
+    return {"op1_url_filter": url_filter.op1_sql(), "op2_decontaminate": decontaminate.op2_sql(), "op7_near_dedup": near_dedup.op7_sql()}

@@ -105,6 +105,38 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
         assert clean == {k for k, (n, h, _) in want.items() if not (h and 20 * h >= n)}
 
 
+def test_decontamination_query_against_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert sorted(map(tuple, decontaminate.op2_decontaminate(spark, sf).collect())) == sorted(con.execute(decontaminate.op2_sql()).fetchall())
+
+
+def test_decontamination_by_a_huge_item_and_equal_windows():
+    import pyarrow as pa
+
+    huge = " ".join(f"u{k}" for k in range(2_500_000))
+    items = [("huge", huge.encode()), *[(f"same{k}", b"one two three four") for k in range(50)], ("one", b"u7"), ("rare", " ".join(f"u{k}" for k in range(100, 113)).encode())]
+    index = decontaminate.Index(pa.py_buffer(decontaminate.index_bytes(items)))
+    texts = [" ".join(f"U{k}" for k in range(2_400_000, 2_400_020)).encode(), b"zero ONE-two three, four", b"u7 x u8", " ".join(f"u{k}" for k in range(95, 115)).encode(), b"", b"one two three"]
+    words = common.Words(texts, common.ALNUM_WORDS)
+    spans, found = [[] for _ in texts], [set() for _ in texts]
+    index.find(words, words.hashes(), texts, spans, found)
+    assert [decontaminate._merged(s) for s in spans] == [[(0, 20)], [(1, 5)], [(0, 1)], [(0, 20)], [], []]
+    assert found == [{"huge"}, {f"same{k}" for k in range(50)}, {"one"}, {"huge", "rare"}, set(), set()]
+
+
+def test_decontamination_opens_many_blocks_one_after_the_other(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k}") for k in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x a{k} b{k} c{k} d{k} y") for k in range(0, 80, 3)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    for held in (decontaminate.HELD_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
+        assert {r._row.doc_id: r["items"] for r in decontaminate.find_windows(docs, bench).collect()} == {k: [str(k)] if k < 60 else [] for k in range(0, 80, 3)}
+
+
 def test_decontamination_of_empty_tables(spark, odd, empty, tables):
     bench = tables("benchmark")
     assert decontaminate.remove_contaminated(empty, bench).collect() == []
@@ -186,6 +218,56 @@ def test_extraction_of_a_page(spark):
     assert got[:4] == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0)]
 
 
+def test_extraction_of_hand_written_pages():
+    from .pages import PAGES
+
+    field = html_extract.trained()
+    got = [html_extract.main_text(page, field) for page, _ in PAGES]
+    lines = [(g.split("\n"), w.split("\n")) for g, (_, w) in zip(got, PAGES, strict=True)]
+    assert sum(g == w for g, (_, w) in zip(got, PAGES, strict=True)) >= 27
+    assert sum(len([x for x in w if x not in g]) for g, w in lines) == 0
+    assert sum(len([x for x in g if x not in w]) for g, w in lines) <= 3
+
+
+def test_extraction_of_the_table_against_its_articles(spark, sf):
+    """The blocks between the article tags, cut with patterns."""
+    import html
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in html_extract.op5_html_extract(spark, sf).collect():
+        inner = "".join(re.findall(r"(?s)<article>(.*?)</article>", pages[r.page_id] or ""))
+        inner = re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside|div|section)\b.*?</\1>", "", inner)
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h\d|li|ul|ol|blockquote)\b[^>]*>", inner)]
+        assert r.text == "\n".join(x for x in parts if x), r.page_id
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 200_000 + "</x>" * 200_000, "<a ''" * 400_000 + '"', "<a x='" * 300_000, "<a x=\"" * 200_000 + "<b y='" * 100_000, "<div>" * 200_000 + "<dt></dt>" * 100_000, "<p><i>" * 150_000 + "<div></div>" * 100_000,
+        "<p><x>" + "<b>" * 200_000 + "<div></div>" * 90_000, "<script></script " * 120_000, "<" * 2_000_000, "<!--" * 500_000, "<a " + '="' * 1_000_000 + ">", "<td>" * 500_000, "<ul><li>" * 250_000, "<a class" + " " * 2_000_000 + "x>",
+    ],
+    ids=range(14),
+)
+def test_reading_takes_time_in_proportion(page):
+    import time
+
+    html_extract.blocks_of(page[: len(page) // 4])
+    began = time.process_time()
+    html_extract.blocks_of(page)
+    assert time.process_time() - began < 8
+
+
+def test_markup_that_ends_nowhere():
+    texts = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    assert texts("<p>a < b and a<b</p>") == ["a < b and a"]
+    assert texts("x </ y> z <p title='a>b'>one</p><p title=\"a>two</p>") == ["x z", "one", "two"]
+    assert texts("<head><title>t</title><p>shown") == ["shown"]
+    assert texts("a<!-- b") == ["a"] and texts("a<!doctype x>b") == ["ab"] and texts("<textarea><p>x</textarea>y") == ["<p>x", "y"]
+    assert texts("<noscript>n</noscript><button>b</button><math><mi>x</mi></math>") == ["n", "b", "x"]
+    assert html_extract.blocks_of("<p hidden>h")[0].hidden
+
+
 def test_digits_are_counted_over_the_whole_block():
     blocks = html_extract.blocks_of(f"<p>{'word ' * 50}{'1234567 ' * 60}</p><p>{'1234567 ' * 30}{'word ' * 300}</p>")
     assert [x[html_extract.FEATURES.index("digits")] for x in html_extract.features_of(blocks)] == [1, 0]
@@ -319,6 +401,15 @@ def test_encoder_agrees_with_the_library():
         assert e.encode([x.encode()])[0] == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
+def test_encoder_with_another_vocabulary():
+    import public_tokenizers
+
+    e = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.splits
+    for x in ["Hello  world \n\n again", " leading", "", "日本 \t x"]:
+        assert e.encode([x.encode()])[0] == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+
+
 def test_damaged_frame_is_noticed(tmp_path):
     w = token_files.ShardWriter()
     w.add(3, np.arange(50, dtype="<u4").tobytes())
