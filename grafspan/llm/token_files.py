@@ -37,7 +37,7 @@ END_ID = 1
 #: Bytes of text in one shard, at most, unless one document has more.
 SHARD_BYTES = 32 << 20
 #: Cached spellings in one worker; beyond that the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: Documents whose texts are copied out of an Arrow batch at a time.
 ROWS_AT_ONCE = 256
 _INDEX, _TABLE, _FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -131,6 +131,8 @@ class ShardReader:
 _LATIN = "".join(chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha() and chr(c) != "\u0130" and len(chr(c).lower()) == 1 and unicodedata.is_normalized("NFC", chr(c)) and 0xC0 <= ord(chr(c).lower()) < 0x250)
 #: Words of these characters only are split here; all others go to the library whole.
 _PLAIN = re.compile(rf"[!-~{_LATIN}]+")
+#: A single one of these after letters is a piece of its own.
+_STOPS = b".,;:!?"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+")
 
 
@@ -141,6 +143,39 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Spellings(dict):
+    """Spelling -> its ids as bytes, found when first asked for. A piece is a spelling too, so that the pieces of
+    longer spellings are kept here as well."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.signs = _byte_signs()
+
+    def __missing__(self, w: bytes) -> bytes:
+        if w.isalpha():
+            # ASCII letters only
+            low = w.lower()
+            found = self._piece(low) if low == w else self[low]
+        elif w[-1] in _STOPS and w[:-1].isalpha():
+            found = self[w[:-1].lower()] + self[w[-1:]]
+        elif b"<|" not in w and _PLAIN.fullmatch(text := w.decode()):
+            low = text.lower()
+            parts = [low] if low.isalpha() else _PIECES.findall(low)
+            if len(parts) > 1:
+                found = b"".join([self[x.encode()] for x in parts])
+            else:
+                found = self._piece(w) if low == text else self[low.encode()]
+        else:
+            found = array("I", self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes()
+        self[w] = found
+        return found
+
+    def _piece(self, piece: bytes) -> bytes:
+        signs = piece.decode() if piece.isascii() else "".join(map(self.signs.__getitem__, piece))
+        return array("I", [t.id for t in self.tokenize(signs)]).tobytes()
+
+
 class Encoder:
     """ids of whole texts. Where white space always parts tokens, as the normaliser and splitter known here make it,
     each spelling between ASCII white space is encoded once and kept: one of plain characters is split into the
@@ -152,57 +187,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.signs = _byte_signs()
+        self.known = _Spellings(self.tokenizer)
         self.splits = self._known_splitter()
 
     def _known_splitter(self) -> bool:
         parts = json.loads(self.tokenizer.to_str())
         kinds = [n["type"] for n in parts["normalizer"].get("normalizers", [])] if parts["normalizer"] else []
+        spaces = [n["pattern"].get("Regex") for n in (parts["normalizer"] or {}).get("normalizers", []) if n["type"] == "Replace" and n["content"] == " "]
         split = parts["pre_tokenizer"].get("pretokenizers", []) if parts["pre_tokenizer"] else []
         pattern = split[0].get("pattern", {}).get("Regex") if len(split) == 2 else None
-        spaces = [n["pattern"].get("Regex") for n in (parts["normalizer"] or {}).get("normalizers", []) if n["type"] == "Replace" and n["content"] == " "]
         return kinds == ["NFC", "Replace", "Lowercase"] and spaces == [r"\s+"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            signs = piece if piece.isascii() else "".join(map(self.signs.__getitem__, piece.encode()))
-            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-        return found
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, piece, hard = self.known, self._piece, []
-        for w in words:
-            if w.isalpha():
-                # ASCII letters only
-                known[w] = piece(w.lower().decode())
-                continue
-            text = w.decode()
-            if b"<|" not in w and _PLAIN.fullmatch(text):
-                parts = _PIECES.findall(text.lower())
-                known[w] = piece(parts[0]) if len(parts) == 1 else b"".join([piece(x) for x in parts])
-            else:
-                hard.append(w)
-        for a in range(0, len(hard), 1024):
-            part = hard[a : a + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.splits:
             # white space may be a part of tokens: whole texts go to the library
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        split = [t.split() for t in texts]
-        self._learn([w for w in {w for words in split for w in words} if w not in self.known])
+            self.known.clear()
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 def _writer(folder: str, path: str):
