@@ -1,13 +1,16 @@
-"""Quality rules with n-gram perplexity: a modified Kneser-Ney model in sorted hash arrays, and bands.
-
-The model is over characters (A-Z lower-cased), of order ORDER = 4: four 16-bit units fill one 64-bit key
-exactly. Counts of all texts are pre-aggregated in each task and summed by Spark, as are continuation counts,
-discounts and backoff weights, so that no table of the model has to fit one machine. Its entries, sorted by
-a 64-bit hash, lie in range-partitioned arrays in the shared folder, which workers memory-map and search;
-a direct-mapped cache in front of them answers most lookups.
-
-A document is rejected if the log of its perplexity a character lies outside its language's band, which
-is set from the quartiles of all documents of that language.
+"""Quality rules with n-gram perplexity: modified Kneser-Ney models in sorted hash arrays, and bands by language.
+
+The models are over characters (A-Z lower-cased), of order ORDER = 4: four 16-bit units fill one 64-bit key
+exactly. There is one for each language, counted on the documents that pass the base rules and look like prose
+(few symbols, words of usual length, few repeated lines), so that junk isn't what junk is measured by. Counts are
+pre-aggregated in each task and summed by Spark, as are continuation counts, discounts and backoff weights, so that
+no table of a model has to fit one machine. The entries, sorted by a 64-bit hash, lie in range-partitioned arrays
+in the shared folder, which workers memory-map and search; a direct-mapped cache in front of them answers most
+lookups.
+
+A document is rejected if the log of its perplexity a character lies outside its language's band, which is set from
+the quartiles of the documents that the language's model was counted on. Quartiles are those of a histogram with
+cells of 1 / CELLS, so that they are the same however rows are partitioned.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,7 +31,10 @@ ORDER = 4
 HELD = 1 << 20
 SHARD_ROWS = 4_000_000
 #: A band reaches so many interquartile ranges beyond the quartiles, more for a short text.
-REACH, SHORT = 1.5, 400.0
+REACH, SHORT = 3.0, 400.0
+CELLS = 1000
+#: A language with fewer documents to count on has no band: its documents are judged by the base rules alone.
+LEAST_DOCS = 20
 #: Bands of so many languages are broadcast; beyond, they are joined.
 BROADCAST_LANGS = 10_000
 _CACHE_BITS = 20
@@ -38,7 +45,8 @@ _SYMBOLS = common._table(lambda b: b in b"#*$%&|<>")
 def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(4-gram code of every character with its three predecessors, number of characters of each text).
 
-    Units above U+FFFF count as U+FFFF, and U+0000 as U+FFFE, as it stands for what is before a text."""
+    Characters above U+FFFF share the codes U+E000 to U+F8FF, and U+0000 is U+FFFE, as it stands for what is before
+    a text."""
     units = [np.frombuffer(t.lower().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts]
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     pad = np.zeros(ORDER - 1, np.uint32)
@@ -47,7 +55,7 @@ def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
     for k in range(ORDER - 1):
         own[starts + k] = False
-    u = np.minimum(flat, 0xFFFF).astype(np.uint64)
+    u = np.where(flat > 0xFFFF, 0xE000 + flat % np.uint32(0x1900), flat).astype(np.uint64)
     u[(u == 0) & own] = 0xFFFE
     code = u.copy()
     for k in range(1, ORDER):
@@ -55,28 +63,59 @@ def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[own], sizes
 
 
-def _count(batches):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def failed_base(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+
+
+def looks_like_prose(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """Passes the base rules, has at most a symbol in ten words, words of 2 to 12 characters on average, and no more
+    repeated lines than a twentieth of its words."""
+    words = counts["n_words"]
+    return ~failed_base(counts) & (10 * counts["n_symbols"] <= words) & (counts["word_chars"] >= 2 * words) & (counts["word_chars"] <= 12 * words) & (20 * counts["n_dup_lines"] <= words)
+
+
+def _by_language(langs: list[str]):
+    """(language, places of its rows) of a batch."""
+    places: dict[str, list[int]] = {}
+    for k, lang in enumerate(langs):
+        places.setdefault(lang, []).append(k)
+    return sorted(places.items())
 
-    def merged():
-        g, where = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
-        return g, np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64)
 
-    def out(g, c):
-        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
+def _count(every: bool):
+    """(_lang, _text) -> language, 4-gram and its count in the texts that look like prose, or in every one."""
 
-    for b in batches:
-        texts = common.as_bytes(b.column(0))
-        for i, j in common.pieces([len(t) + 1 for t in texts]):
-            code, _ = codes_of(texts[i:j])
-            held.append(np.unique(code, return_counts=True))
-            if sum(len(a) for a, _ in held) > HELD:
-                held = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield out(*held[0])
-                    held = []
-    if held:
-        yield out(*merged())
+    def count(batches):
+        held: dict[str, list] = {}
+        size = 0
+
+        def merged(parts):
+            g, where = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+            return g, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+        def out():
+            for lang, parts in sorted(held.items()):
+                g, c = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["lang", "g", "c"])
+
+        for b in batches:
+            texts = common.as_bytes(b.column(1))
+            good = np.ones(len(texts), bool) if every else looks_like_prose(text_counts(texts))
+            for lang, at in _by_language(b.column(0).to_pylist()):
+                mine = [texts[k] for k in at if good[k]]
+                for i, j in common.pieces([len(t) + 1 for t in mine]):
+                    code, _ = codes_of(mine[i:j])
+                    held.setdefault(lang, []).append(np.unique(code, return_counts=True))
+                    size += len(held[lang][-1][0])
+                    if size > HELD:
+                        held = {k: [merged(x)] for k, x in held.items()}
+                        size = sum(len(x[0][0]) for x in held.values())
+                        if size > HELD // 2:
+                            yield from out()
+                            held, size = {}, 0
+        yield from out()
+
+    return count
 
 
 def _shift(column: str, units: int):
@@ -87,60 +126,61 @@ def _low(column: str, units: int):
     return F.col(column).bitwiseAND(F.lit((1 << (16 * units)) - 1))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and above."""
-    r = counts.agg(*[F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (int(x) for x in r)
-    if not n1 or not n2:
-        return [0.5, 0.75, 0.9]
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(v, 0.05), k - 0.05) for k, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3 if n3 else 2.0))]
+def _discounts(counts: DataFrame) -> DataFrame:
+    """Modified Kneser-Ney discounts of each language for counts 1, 2 and above."""
+    r = counts.groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    known = (F.col("n1") > 0) & (F.col("n2") > 0)
+
+    def bounded(k, value, default):
+        return F.when(known, F.least(F.greatest(value, F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(default)).alias(f"d{k}")
+
+    third = F.when(F.col("n3") > 0, 3 - 4 * y * F.col("n4") / F.col("n3")).otherwise(2.0)
+    return r.select("lang", bounded(1, 1 - 2 * y * F.col("n2") / F.col("n1"), 0.5), bounded(2, 2 - 3 * y * F.col("n3") / F.col("n2"), 0.75), bounded(3, third, 0.9))
 
 
-def model_entries(texts: DataFrame) -> DataFrame:
-    """(n, g, logp, logg): n-gram g of order n with its log10 probability and the log10 weight with which it
-    backs off as a context (each null where it isn't one). n = 0 has the unseen character's probability."""
-    top = common.store(texts.mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")
+def model_entries(texts: DataFrame, every: bool = False) -> DataFrame:
+    """(lang, n, g, logp, logg) from rows (language, text): n-gram g of order n with its log10 probability and the
+    log10 weight with which it backs off as a context (each null where it isn't one). n = 0 has the probability of a
+    character that the language's texts don't have."""
+    top = common.store(texts.mapInArrow(_count(every), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), "kn-counts")
     tables = {ORDER: top}
     for n in range(ORDER - 1, 0, -1):
         # how many different characters come before: its continuation count
-        tables[n] = tables[n + 1].groupBy(_low("g", n).alias("g")).agg(F.count("*").alias("c"))
+        tables[n] = tables[n + 1].groupBy("lang", _low("g", n).alias("g")).agg(F.count("*").alias("c"))
     entries, lower = [], None
     for n in range(1, ORDER + 1):
         table = tables[n] if n == ORDER else common.store(tables[n], f"kn-{n}")
-        d1, d2, d3 = _discounts(table)
-        if n > 1:
-            table = table.withColumn("h", _shift("g", 1))
-            # the key of a context has no bits above its n - 1 units
-        else:
-            table = table.withColumn("h", F.lit(0).cast("long"))
-        less = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        contexts = table.groupBy("h").agg(F.sum("c").alias("total"), (F.sum(less) / F.sum("c")).alias("gamma"))
-        row = table.join(contexts, "h")
+        # the key of a context has no bits above its n - 1 units
+        table = table.withColumn("h", _shift("g", 1) if n > 1 else F.lit(0).cast("long")).join(_discounts(table), "lang")
+        table = table.withColumn("less", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        contexts = table.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("less") / F.sum("c")).alias("gamma"), F.count("*").alias("kinds"))
+        row = table.join(contexts, ["lang", "h"])
         if n == 1:
             # what is left is shared by all seen characters and the unseen one
-            types = table.count()
-            under = F.lit(1.0 / (types + 1))
-            first = contexts.first()
-            zero = math.log10((first["gamma"] if first else 1.0) / (types + 1))
-            row = row.withColumn("low", under)
+            row = row.withColumn("low", 1 / (F.col("kinds") + 1))
+            entries.append(contexts.select("lang", F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), F.log10(F.col("gamma") / (F.col("kinds") + 1)).alias("logp"), F.lit(None).cast("double").alias("logg")))
         else:
-            row = row.withColumn("k", _low("g", n - 1)).join(lower.select(F.col("g").alias("k"), F.col("p").alias("low")), "k")
-        done = common.store(row.select("g", ((F.col("c") - less) / F.col("total") + F.col("gamma") * F.col("low")).alias("p")), f"kn-p{n}")
-        entries.append(done.select(F.lit(n).alias("n"), "g", F.log10("p").alias("logp"), F.lit(None).cast("double").alias("logg")))
+            row = row.withColumn("k", _low("g", n - 1)).join(lower.select("lang", F.col("g").alias("k"), F.col("p").alias("low")), ["lang", "k"])
+        done = common.store(row.select("lang", "g", ((F.col("c") - F.col("less")) / F.col("total") + F.col("gamma") * F.col("low")).alias("p")), f"kn-p{n}")
+        entries.append(done.select("lang", F.lit(n).alias("n"), "g", F.log10("p").alias("logp"), F.lit(None).cast("double").alias("logg")))
         if n > 1:
-            entries.append(contexts.select(F.lit(n - 1).alias("n"), F.col("h").alias("g"), F.lit(None).cast("double").alias("logp"), F.log10("gamma").alias("logg")))
+            entries.append(contexts.select("lang", F.lit(n - 1).alias("n"), F.col("h").alias("g"), F.lit(None).cast("double").alias("logp"), F.log10("gamma").alias("logg")))
         lower = done
     both = entries[0]
     for e in entries[1:]:
         both = both.unionByName(e)
-    out = both.groupBy("n", "g").agg(F.max("logp").alias("logp"), F.max("logg").alias("logg"))
-    return out.unionByName(texts.sparkSession.createDataFrame([(0, 0, zero, None)], out.schema))
+    return both.groupBy("lang", "n", "g").agg(F.max("logp").alias("logp"), F.max("logg").alias("logg"))
+
 
+def salt_of(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang))
 
-def _hash(n, g: np.ndarray) -> np.ndarray:
+
+def _hash(n, g: np.ndarray, salt) -> np.ndarray:
+    """63 bits of an n-gram of a language; other n-grams meet with a chance of 1e-19 for each entry."""
     with np.errstate(over="ignore"):
-        return common.mix(g ^ (np.asarray(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return common.mix(common.mix(g ^ (np.asarray(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + salt) >> np.uint64(1)
 
 
 def store_model(entries: DataFrame) -> list[dict]:
@@ -150,23 +190,26 @@ def store_model(entries: DataFrame) -> list[dict]:
 
     def key(batches):
         for b in batches:
-            h = _hash(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)) >> np.uint64(1)
+            langs = b.column(0).dictionary_encode()
+            salts = np.array([salt_of(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()] if b.num_rows else np.empty(0, np.uint64)
+            h = _hash(b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), salts)
             # log10 of 1 where there is none: an unseen context backs off with weight 1; nan: not an n-gram
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), b.column(2).fill_null(math.nan), b.column(3).fill_null(0.0)], ["h", "logp", "logg"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), b.column(3).fill_null(math.nan), b.column(4).fill_null(0.0)], ["h", "logp", "logg"])
 
     def write(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
         if parts:
             h, p, g = (np.concatenate(x) for x in zip(*parts, strict=True))
             at = np.argsort(h)
-            uri = f"{folder}/{int(h[at[0]]):016x}.arrays"
+            uri = f"{folder}/{uuid.uuid4().hex}.arrays"
             common.put_file(uri, np.int64(len(h)).tobytes() + h[at].astype("<u8").tobytes() + p[at].astype("<f4").tobytes() + g[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([int(h[at[0]])], pa.int64())], ["uri", "low"])
 
     keyed = entries.mapInArrow(key, "h long, logp double, logg double")
     shards = max(1, -(-entries.count() // SHARD_ROWS))
     placed = keyed.repartitionByRange(shards, "h") if shards > 1 else keyed.coalesce(1)
-    return [{"uri": r.uri, "low": r.low} for r in placed.mapInArrow(write, "uri string, low long").orderBy("low").collect()]
+    # sorted here: sorting a frame that writes would write twice
+    return sorted(({"uri": r.uri, "low": r.low} for r in placed.mapInArrow(write, "uri string, low long").collect()), key=lambda m: m["low"])
 
 
 class Scorer:
@@ -179,12 +222,12 @@ class Scorer:
             n = int(np.frombuffer(buffer, np.int64, 1)[0])
             self.shards.append((np.frombuffer(buffer, "<u8", n, 8), np.frombuffer(buffer, "<f4", n, 8 + 8 * n), np.frombuffer(buffer, "<f4", n, 8 + 12 * n)))
         self.low = np.array([m["low"] for m in manifest], np.uint64)
-        self.key = np.zeros(1 << _CACHE_BITS, np.uint64)
+        self.key, self.salt = np.zeros(1 << _CACHE_BITS, np.uint64), np.zeros(1 << _CACHE_BITS, np.uint64)
         self.value = np.zeros(1 << _CACHE_BITS, np.float32)
 
-    def _find(self, n: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, n: int, g: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """(log10 p or nan, log10 backoff weight) of n-grams of order n."""
-        h = _hash(n, g) >> np.uint64(1)
+        h = _hash(n, g, salt)
         p, w = np.full(len(h), np.nan, np.float32), np.zeros(len(h), np.float32)
         which = np.maximum(np.searchsorted(self.low, h, "right") - 1, 0) if len(self.low) else np.empty(0, int)
         for s in np.unique(which):
@@ -195,7 +238,8 @@ class Scorer:
             p[mine[hit]], w[mine[hit]] = logp[at[hit]], logg[at[hit]]
         return p, w
 
-    def resolve(self, codes: np.ndarray) -> np.ndarray:
+    def resolve(self, codes: np.ndarray, salt: np.uint64) -> np.ndarray:
+        """log10 probabilities; nan for a language without a model."""
         out = np.full(len(codes), np.nan, np.float64)
         back = np.zeros(len(codes))
         for n in range(ORDER, -1, -1):
@@ -203,26 +247,28 @@ class Scorer:
             if not len(open_):
                 break
             g = codes[open_] & np.uint64((1 << (16 * n)) - 1) if n < ORDER else codes[open_]
-            p, _ = self._find(n, g)
+            p, _ = self._find(n, g, salt)
             out[open_] = p + back[open_]
             if n > 1:
                 miss = open_[np.isnan(p)]
                 context = (codes[miss] & np.uint64((1 << (16 * n)) - 1) if n < ORDER else codes[miss]) >> np.uint64(16)
-                back[miss] += self._find(n - 1, context)[1]
+                back[miss] += self._find(n - 1, context, salt)[1]
         return out
 
-    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, codes: np.ndarray, lang: str) -> np.ndarray:
+        salt = salt_of(lang)
         with np.errstate(over="ignore"):
-            slot = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)
+            key = codes * np.uint64(0x9E3779B97F4A7C15) + salt
+        slot = key >> np.uint64(64 - _CACHE_BITS)
         out = self.value[slot]
-        miss = np.flatnonzero(self.key[slot] != codes)
+        miss = np.flatnonzero((self.key[slot] != codes) | (self.salt[slot] != salt))
         if len(miss):
-            new, where = np.unique(codes[miss], return_inverse=True)
-            p = self.resolve(new).astype(np.float32)
+            new, first, where = np.unique(codes[miss], return_index=True, return_inverse=True)
+            p = self.resolve(new, salt).astype(np.float32)
             out[miss] = p[where]
-            with np.errstate(over="ignore"):
-                at = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)
-            self.key[at], self.value[at] = new, p
+            at = slot[miss[first]]
+            self.key[at], self.salt[at], self.value[at] = new, salt, p
+            # of several that fall into one slot the last is there; the salt and the key are of the same one
         return out
 
 
@@ -257,13 +303,24 @@ def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     return out
 
 
+def bands_of(scored: DataFrame) -> DataFrame:
+    """(_lang, q1, q3) of languages with LEAST_DOCS documents that look like prose: quartiles from a histogram."""
+    cells = scored.where("_prose AND log_ppl IS NOT NULL").groupBy("_lang", F.floor(F.col("log_ppl") * CELLS).alias("cell")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("_lang")
+    run = cells.select("_lang", "cell", F.sum("n").over(w.orderBy("cell")).alias("upto"), F.sum("n").over(w).alias("all"))
+
+    def quartile(k):
+        return ((F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("cell"))) + 0.5) / CELLS).alias(f"q{k}")
+
+    return run.where(F.col("all") >= LEAST_DOCS).groupBy("_lang").agg(quartile(1), quartile(3))
+
+
 def judge(docs: DataFrame, manifest: list[dict], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each document: id, the counts, n_chars, log_ppl (log10 of the perplexity a character; null
-    for an empty text), low and high (its band), base_failed, kept.
+    for an empty text or a language without a model), low and high (its band; null if there is none), base_failed, kept.
 
     A null text is empty, and fails. A null language is the language ``und``. Repeated rows are judged each.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -272,29 +329,40 @@ def judge(docs: DataFrame, manifest: list[dict], id_col: str = "doc_id", text_co
             texts = common.as_bytes(b.column(2))
             counts = text_counts(texts)
             sizes, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for i, j in common.pieces([len(t) + 1 for t in texts]):
-                codes, n = codes_of(texts[i:j])
-                sums[i:j] = np.bincount(np.repeat(np.arange(j - i), n), scorer.log_probabilities(codes), j - i)
-                sizes[i:j] = n
-            ppl = pa.array(-sums / np.maximum(sizes, 1), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c) for c in counts.values()], pa.array(sizes), ppl], ["_id", "_lang", *counts, "n_chars", "log_ppl"])
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
-    scored = common.store(rows.mapInArrow(run, f"_id {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_ppl double"), "kn-scores")
-    bands = scored.groupBy("_lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 2000).alias("q"))
-    bands = common.store(bands.select("_lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")), "kn-bands")
+            for lang, at in _by_language(b.column(1).to_pylist()):
+                for i, j in common.pieces([len(texts[k]) + 1 for k in at]):
+                    codes, n = codes_of([texts[k] for k in at[i:j]])
+                    sums[at[i:j]] = np.bincount(np.repeat(np.arange(j - i), n), scorer.log_probabilities(codes, lang), j - i)
+                    sizes[at[i:j]] = n
+            ppl = pa.array(-sums / np.maximum(sizes, 1), mask=(sizes == 0) | np.isnan(sums))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c) for c in counts.values()], pa.array(looks_like_prose(counts)), pa.array(sizes), ppl], ["_id", "_lang", *counts, "_prose", "n_chars", "log_ppl"])
+
+    rows = _rows(docs, id_col, text_col, lang_col)
+    scored = common.store(rows.mapInArrow(run, f"_id {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _prose boolean, n_chars long, log_ppl double"), "kn-scores")
+    bands = common.store(bands_of(scored), "kn-bands")
     if bands.count() <= BROADCAST_LANGS:
         # a row for each language; so documents aren't moved to their language's task
         bands = F.broadcast(bands)
     reach = REACH * (F.col("q3") - F.col("q1") + 0.01) * F.sqrt(1 + SHORT / F.greatest(F.col("n_chars"), F.lit(1)))
-    out = scored.join(bands, "_lang").withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
+    out = scored.join(bands, "_lang", "left").withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("log_ppl").between(F.col("low"), F.col("high")))
+    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_chars", "log_ppl", "low", "high"]
     return out.select(F.col("_id").alias(id_col), *names)
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", every: bool = False) -> list[dict]:
+    """The models of all languages of the documents, stored; the manifest of their arrays. every: counted on all
+    texts, not only on those that look like prose."""
+    common.ship(docs.sparkSession)
+    return store_model(model_entries(_rows(docs, id_col, text_col, lang_col).select("_lang", "_text"), every))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs, store_model(model_entries(docs.select("text"))))
+    return judge(docs, fit(docs))
