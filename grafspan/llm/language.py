@@ -5,13 +5,13 @@ counted over all rows to learn from. The weights are fitted by follow-the-regula
 L2 penalties, which leaves most of them zero, and probabilities are calibrated by one temperature, on
 sampled documents that the weights have not seen.
 
-The fit uses a sample of about TRAIN_PER_LANG documents of each language, chosen by a hash of the id.
+The fit uses a sample of about TRAIN_PER_LANG documents of each of the LANGS languages that most labelled rows have,
+chosen by a hash of the id; so what the driver holds and what is broadcast is bounded, however many values the
+language column has. The weights that L1 leaves are kept and broadcast in sparse form.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +20,20 @@ from pyspark.sql import functions as F
 from . import common
 
 TRAIN_PER_LANG = 1000
+LANGS = 200
 BITS = 16
 ORDERS = (1, 2, 3)
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether any character is a letter; fractions, superscripts and other numbers are none."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def columns_of(text: bytes) -> np.ndarray:
     """Hashed columns of all n-grams of a text, with repeats."""
     c = np.frombuffer(text.lower().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -54,18 +59,29 @@ def vector(text: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """Weights by column: those of column c are values[start[c] : start[c + 1]], of the languages in lang."""
+
     def __init__(self, langs: list[str], idf: np.ndarray):
         self.langs, self.idf, self.temperature = langs, idf, 1.0
-        self.weights = np.zeros((1 << BITS, max(1, len(langs))), np.float32)
         self.bias = np.zeros(max(1, len(langs)))
+        self.keep(np.zeros((1 << BITS, max(1, len(langs)))))
+
+    def keep(self, weights: np.ndarray) -> None:
+        column, self.lang = np.nonzero(weights)
+        self.lang = self.lang.astype(np.int32)
+        self.values = weights[column, self.lang].astype(np.float32)
+        self.start = np.searchsorted(column, np.arange((1 << BITS) + 1))
 
     def logits(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return v @ self.weights[at] + self.bias
+        n = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)
+        return np.bincount(self.lang[place], self.values[place] * np.repeat(v, n), len(self.bias)) + self.bias
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for t in texts:
-            if not self.langs or not _LETTER.search(t.decode("utf-8", "replace")):
+            if not self.langs or not has_letter(t):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
@@ -84,7 +100,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], model: Model, seed: int = 3) -> None:
     """Follow-the-regularised-leader, one coordinate rate each; L1 keeps small coordinates at zero."""
     k = len(model.langs)
-    z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
+    # only columns that the sample has
+    seen = np.unique(np.concatenate([a for a, _, _ in rows])) if rows else np.empty(0, np.int64)
+    rows = [(np.searchsorted(seen, a), v, y) for a, v, y in rows]
+    z, n = np.zeros((len(seen), k)), np.zeros((len(seen), k))
     zb, nb = np.zeros(k), np.zeros(k)
 
     def solve(z, n, l1):
@@ -103,7 +122,10 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], model: Model, seed: int
             n[at] += g * g
             zb += g0 - (np.sqrt(nb + g0 * g0) - np.sqrt(nb)) / ALPHA * b
             nb += g0 * g0
-    model.weights, model.bias = solve(z, n, L1).astype(np.float32), solve(zb, nb, 0.0)
+    weights = np.zeros((1 << BITS, k), np.float32)
+    weights[seen] = solve(z, n, L1)
+    model.keep(weights)
+    model.bias = solve(zb, nb, 0.0)
 
 
 def _frequencies(batches):
@@ -117,12 +139,13 @@ def _frequencies(batches):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model:
-    """Learns from text and non-null lang of rows whose crc32(id as text) mod 3 is not 1. Without such rows
-    every prediction is ``und``."""
+    """Learns from text and non-null lang of rows whose crc32(id as text) mod 3 is not 1; a row without an id isn't
+    learnt from. Without such rows every prediction is ``und``. Document frequencies are those of all these rows,
+    of rare languages too; only the LANGS most frequent languages can be predicted."""
     spark = docs.sparkSession
     common.ship(spark)
     known = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang")).where((common.crc_mod("_id", 3) != 1) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().toLocalIterator()}
+    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGS).collect()}
     langs = sorted(counts)
     found = {r.c: r.n for r in known.select("_text").mapInArrow(_frequencies, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toLocalIterator()}
     total = found.pop(-1, 0)
@@ -187,4 +210,4 @@ def remove_unidentified(docs: DataFrame, model: Model, text_col: str = "text", l
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs)
-    return predict(docs, model).select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(common.crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
