@@ -5,7 +5,10 @@ starts with the pattern's path. Their 64-bit xxhash keys are stored sorted, in k
 the shared folder. A batch of urls builds its candidate strings (host suffixes x path prefixes of
 the lengths that occur among the patterns), probes each shard with a vectorised binary search, and
 confirms every hit against the stored full string, so that a collision can't give a wrong answer.
-A list of any size works: shards are opened one after another and memory-mapped.
+A list of any size works: a task opens a shard when a batch first needs it, which is settled by the keys' ranges, and
+keeps it memory-mapped; where the shared folder isn't mounted, shards of HELD_BYTES in all are kept.
+
+The query's own blocklist is a table, like any other: one parameter takes the DataFrame (kind, pattern).
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ BLOCKED_HOSTS = [
 ]
 #: Patterns in one shard; a shard is about 60 bytes a pattern.
 SHARD_ROWS = 2_000_000
+HELD_BYTES = 512 << 20
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -88,6 +92,29 @@ class Shard:
         return found
 
 
+class Shards:
+    """All shards of a manifest, opened when they are first needed."""
+
+    def __init__(self, manifest: list[dict]):
+        self.manifest = sorted(manifest, key=lambda m: m["low"])
+        self.low = np.array([m["low"] for m in self.manifest], np.uint64)
+        self.keep = all(m["uri"].startswith("file:") for m in manifest) or sum(m["bytes"] for m in manifest) <= HELD_BYTES
+        self.open: dict[int, Shard] = {}
+
+    def probe(self, digests: np.ndarray, strings: list[str]) -> dict[str, str]:
+        found: dict[str, str] = {}
+        if not len(self.low):
+            return found
+        which = np.searchsorted(self.low, digests, "right") - 1
+        for k in np.unique(which[which >= 0]).tolist():
+            mine = np.flatnonzero(which == k)
+            shard = self.open.get(k) or Shard(self.manifest[k]["uri"])
+            if self.keep:
+                self.open[k] = shard
+            found |= shard.probe(digests[mine], [strings[i] for i in mine])
+        return found
+
+
 def build_digest_array(patterns: DataFrame) -> list[dict]:
     """Store patterns(kind, pattern) as sorted shards; the manifest has one entry for each shard.
 
@@ -110,15 +137,16 @@ def build_digest_array(patterns: DataFrame) -> list[dict]:
             rows += zip(b.column("key").to_numpy().view(np.uint64).tolist(), b.column("pattern").to_pylist(), b.column("kind").to_pylist())
         if rows:
             rows.sort()
-            uri = f"{folder}/{rows[0][0]:016x}.keys"
-            common.put_file(uri, _shard_bytes(rows))
+            uri, data = f"{folder}/{uuid.uuid4().hex}.keys", _shard_bytes(rows)
+            common.put_file(uri, data)
             sizes = sorted({len(p) - p.find("/") if "/" in p else 0 for _, p, _ in rows})
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([json.dumps(sizes)])], ["uri", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([json.dumps(sizes)]), pa.array([str(rows[0][0])]), pa.array([len(data)], pa.int64())], ["uri", "sizes", "low", "bytes"])
 
     keyed = clean.select("pattern", "kind").mapInArrow(digest, "key long, pattern string, kind string")
     shards = max(1, -(-clean.count() // SHARD_ROWS))
-    placed = keyed.repartitionByRange(shards, "key") if shards > 1 else keyed.coalesce(1)
-    return [{"uri": r.uri, "sizes": json.loads(r.sizes)} for r in placed.mapInArrow(write, "uri string, sizes string").collect()]
+    # ranges of the key's own order, that of unsigned numbers; equal keys stay in one shard
+    placed = keyed.repartitionByRange(shards, F.col("key").bitwiseXOR(F.lit(-(1 << 63)))) if shards > 1 else keyed.coalesce(1)
+    return [{"uri": r.uri, "sizes": json.loads(r.sizes), "low": int(r.low), "bytes": r.bytes} for r in placed.mapInArrow(write, "uri string, sizes string, low string, bytes long").collect()]
 
 
 def _candidates(host: str, path: str, sizes: list[int]) -> list[str]:
@@ -139,15 +167,15 @@ def judge_urls(pages: DataFrame, rules: list[dict], blocked: list[dict], id_col:
     sizes = sorted({n for m in rules + blocked for n in m["sizes"]})
 
     def judge(batches):
+        stored = (Shards(rules), Shards(blocked))
         for b in batches:
             split = [split_url(u) for u in b.column(1).to_pylist()]
             options = [_candidates(h, p, sizes) for h, p in split]
             strings = list(dict.fromkeys(s for o in options for s in o))
             digests = np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64)
             fits: tuple[dict, dict] = ({}, {})
-            for found, manifest in zip(fits, (rules, blocked), strict=True):
-                for shard in manifest:
-                    found |= Shard(shard["uri"]).probe(digests, strings)
+            for found, shards in zip(fits, stored, strict=True):
+                found |= shards.probe(digests, strings)
             rule, verdict = [], []
             for o in options:
                 best = max((s for s in o if s in fits[0]), key=lambda s: (len(s), s.find("/")), default=None)
@@ -161,9 +189,12 @@ def judge_urls(pages: DataFrame, rules: list[dict], blocked: list[dict], id_col:
     return common.with_text_only(pages, id_col, url_col).mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 
 
-def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_url_filter(spark: SparkSession, sf_dir: str, blocklist: DataFrame | None = None) -> DataFrame:
+    """blocklist: a table (kind, pattern) of any size; without one, the hosts above."""
     rules = build_digest_array(spark.createDataFrame(RULES, "kind string, pattern string"))
-    blocked = build_digest_array(spark.createDataFrame([("block", h + "/") for h in BLOCKED_HOSTS], "kind string, pattern string"))
+    if blocklist is None:
+        blocklist = spark.createDataFrame([("block", h + "/") for h in BLOCKED_HOSTS], "kind string, pattern string")
+    blocked = build_digest_array(blocklist)
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, blocked)
 
 
