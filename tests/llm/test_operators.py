@@ -537,10 +537,93 @@ def test_lm_counts_and_base_score(spark, docs, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def brute_scores(rows):
+    """Deleted interpolation by plain dictionaries: id -> score; the weights by the same steps of EM, on exact cells."""
+    toks = {i: [*SPACE_WORDS.findall(lower(t)), "\0end"] for i, t in rows}
+    learn = [i for i in toks if crc(i) % 5 != 1]
+    fold = [i for i in learn if crc(i) % 5 == 2] or learn
+
+    def grams(ws):
+        s = ["\0start", "\0start", *ws]
+        return Counter(ws), Counter(zip(s[1:], ws, strict=False)), Counter(zip(s, s[1:], ws, strict=False))
+
+    every = [Counter(), Counter(), Counter()]
+    own = {i: grams(toks[i]) for i in toks}
+    for i in learn:
+        for c, o in zip(every, own[i], strict=True):
+            c.update(o)
+    n, v = sum(every[0].values()), len(every[0])
+
+    def parts(i):
+        gone = own[i] if i in set(learn) else (Counter(), Counter(), Counter())
+        c = lambda k, g: every[k][g] - gone[k][g]
+        ws = toks[i]
+        s = ["\0start", "\0start", *ws]
+        docs = c(0, "\0end")
+        for k, w in enumerate(ws):
+            u, h = s[k], s[k + 1]
+            one = docs if h == "\0start" else c(0, h)
+            two = docs if h == "\0start" else c(1, (u, h))
+            log = lambda x: math.frexp(x)[1]
+            yield lm_scoring._LONG + log(two) if two > 0 else log(one), c(2, (u, h, w)) / max(two, 1), c(1, (h, w)) / max(one, 1), c(0, w) / max(1, n - (len(ws) if gone[0] else 0))
+
+    cells = Counter()
+    for i in fold:
+        for b, *ps in parts(i):
+            code = b
+            for p in ps:
+                code = code * 512 + (int(min(510, max(0, -np.round(lm_scoring.GRID * np.log2(p))))) if p > 0 else 511)
+            cells[code] += 1
+    w = lm_scoring.learn_weights(sorted(cells.items()), v)
+    return {i: sum(math.log10(w[b, 0] * p3 + w[b, 1] * p2 + w[b, 2] * p1 + w[b, 3] / (v + 1)) for b, p3, p2, p1 in parts(i)) for i in toks}
+
+
+@pytest.mark.parametrize("ids", [range(40), [k for k in range(200) if crc(k) % 5 in (0, 1)][:30]])
+def test_lm_scores_against_plain_dictionaries(spark, ids):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(rng.randint(0, 40)))) for i in ids]
+    rows[3] = (rows[3][0], rows[5][1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(df).collect()}
+    want = brute_scores(rows)
+    assert set(got) == set(want)
+    for i, s in got.items():
+        assert math.isclose(s, want[i], rel_tol=1e-9), i
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, tables):
+    docs = tables("documents")
+    a, b = ({r.doc_id: r for r in lm_scoring.score_texts(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert all(math.isclose(a[i].score, b[i].score, rel_tol=1e-9) and a[i].n_known == b[i].n_known for i in a) and set(a) == set(b)
+
+
+def test_lm_documents_that_occur_twice_stand_out(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"{rng.choice('abcdefghij')}{rng.randrange(40)}" for _ in range(80)) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + k, texts[k]) for k in range(20)]
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # a copy whose other one was held out is one of a kind to the model
+    twice = [got[k] for k in range(20) if crc(1000 + k) % 5 != 1]
+    once = sorted(got[k] for k in range(20, 300))
+    assert len(twice) > 10 and min(twice) > once[-1]
+
+
+def test_lm_keys_and_counts_round_trip():
+    rng = np.random.default_rng(3)
+    for order in range(3):
+        free = np.uint64((1 << lm_scoring._FREE[order]) - 1)
+        keys = np.unique(rng.integers(0, 2**64, 1000, dtype=np.uint64) & ~free)
+        assert (lm_scoring._unpack_keys(lm_scoring._pack_keys(keys, order), order) == keys).all()
+    for top in (3, 300, 1 << 40):
+        c = rng.integers(0, top, 100)
+        assert (lm_scoring._unpack_counts(lm_scoring._pack_counts(c)) == c).all()
+
+
 def test_lm_probabilities_sum_to_one():
-    cells = [(3, -8, -20, 50), (3, -9999, -40, 10), (0, -9999, -9999, 4), (1, 0, -30, 9)]
+    code = lambda b, *q: ((b * 512 + q[0]) * 512 + q[1]) * 512 + q[2]
+    cells = [(code(73, 2, 4, 20), 50), (code(73, 511, 511, 40), 10), (code(0, 511, 511, 511), 4), (code(1, 511, 0, 30), 9)]
     w = lm_scoring.learn_weights(cells, 1000)
-    assert np.allclose(w.sum(1), 1) and (w[:, 1:] > 0).all()
+    assert np.allclose(w.sum(1), 1) and (w[:, 2:] > 0).all() and (w[: lm_scoring._LONG, 0] == 0).all()
 
 
 def test_lm_odd_rows(spark, odd, empty):
