@@ -8,6 +8,7 @@ and hashed with numpy on the whole buffer, never with a Python loop over words.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -27,10 +28,18 @@ _FALLBACK: dict[str, str] = {}
 SLICE_BYTES = 1 << 21
 
 
+#: Rows and bytes of one Arrow batch, where the session leaves Spark's own (10,000 and 64 MB) as they are: a task holds
+#: several copies of a batch, and texts are long.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+
+
 # ---------------------------------------------------------------- session and storage
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors, once for each application."""
+    """Make this package importable on executors, once for each application, and keep Arrow batches small."""
     sc = spark.sparkContext
+    for key, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(ours))
     with _LOCK:
         if sc.applicationId in _SHIPPED:
             return
@@ -50,12 +59,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is read from spark.checkpoint.dir; only where that is unset (tests, local mode) is a
-    temporary folder of this machine used.
+    It is read from spark.checkpoint.dir; where that is unset a temporary folder of this machine is used, in local
+    mode only: on a cluster no folder of one machine will do.
     """
     sc = spark.sparkContext
     uri = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not uri:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise OSError("spark.checkpoint.dir has to name a folder that all executors share")
         with _LOCK:
             uri = _FALLBACK.setdefault(sc.applicationId, "file://" + os.path.join(tempfile.gettempdir(), f"grafspan-{uuid.uuid4().hex}"))
     if "://" not in uri:
