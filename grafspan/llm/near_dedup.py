@@ -248,8 +248,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that share id and set are one; a class's signature is that of its representative
     marked = known.withColumnRenamed("_id", "id").join(classes.hint("merge"), ["d1", "d2", "id"], "left_semi")
 
-    keys = marked.select("id", F.explode("bands").alias("key")).distinct()
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
+    # keys and sizes are written, so that both sides of their join come from plain exchanges, which are split where a
+    # bucket holds much of all documents
+    keys = common.store(marked.select("id", F.explode("bands").alias("key")).distinct(), "near-keys")
+    buckets = common.store(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1"), "near-sizes")
     members = common.store(keys.join(buckets.hint("merge"), "key").select("key", "id", "pivot", "size"), "near-buckets")
     met = members.select("id").distinct()
     sketches = common.store(marked.join(met.hint("merge"), "id", "left_semi").select("id", "n", "sketch"), "near-sketches")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, html_extract, language, lm_scoring, near_dedup, perplexity, piece_sampling, quality, token_files, url_filter
 
 
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_quality_rules": perplexity.op10_quality_rules,
-        "pipeline": corpus_pipeline.run,
     }
 
 
