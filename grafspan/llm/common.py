@@ -74,6 +74,18 @@ def shared_dir(spark: SparkSession) -> str:
     return uri.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all intermediate tables and files of this application."""
+    return f"{shared_dir(spark)}/grafspan-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables and files. Results read them until they are written, so this is
+    for the caller, when all that is wanted has been written; token files that are to stay are to be copied before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -84,8 +96,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as compressed Parquet below the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df as compressed Parquet below the shared folder and read it back; it stays until ``clean``."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -158,7 +158,7 @@ def store_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     common.ship(spark)
     rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    folder = f"{common.shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    folder = f"{common.work_dir(spark)}/windows-{uuid.uuid4().hex}"
     blocks = max(1, -(-total // BLOCK_BYTES))
 
     def build(batches):

@@ -303,7 +303,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.coalesce(rest == 1, F.lit(False)).alias("_held"), F.coalesce(rest != 1, F.lit(False)).alias("_learn"), F.coalesce(rest == 2, F.lit(False)).alias("_fold"))
     size = rows.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
     bits = min(32, max(8, math.ceil(math.log2(max(1, size / 5 / RANGE_ENTRIES)))))
-    folder = f"{common.shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    folder = f"{common.work_dir(spark)}/lm-{uuid.uuid4().hex}"
     chunks = common.store(rows.mapInArrow(_write_chunks(folder), "chunk string, fold boolean"), "lm-chunks")
     n_chunks = max(1, chunks.count())
     asked = chunks.select("chunk").repartition(n_chunks, "chunk").mapInArrow(_ask(bits), _ASKED)

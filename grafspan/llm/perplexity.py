@@ -186,7 +186,7 @@ def _hash(n, g: np.ndarray, salt) -> np.ndarray:
 def store_model(entries: DataFrame) -> list[dict]:
     """Write the entries as arrays sorted by hash, in range-partitioned shards; the manifest has a row a shard."""
     spark = entries.sparkSession
-    folder = f"{common.shared_dir(spark)}/kn-{uuid.uuid4().hex}"
+    folder = f"{common.work_dir(spark)}/kn-{uuid.uuid4().hex}"
 
     def key(batches):
         for b in batches:
@@ -216,22 +216,26 @@ class Scorer:
     """Interpolated probabilities from the sorted arrays; most come from a direct-mapped cache."""
 
     def __init__(self, manifest: list[dict]):
-        self.shards = []
-        for m in manifest:
-            buffer = common.open_file(m["uri"]).read_buffer()
-            n = int(np.frombuffer(buffer, np.int64, 1)[0])
-            self.shards.append((np.frombuffer(buffer, "<u8", n, 8), np.frombuffer(buffer, "<f4", n, 8 + 8 * n), np.frombuffer(buffer, "<f4", n, 8 + 12 * n)))
+        self.manifest = manifest
+        self.shards: dict[int, tuple] = {}
         self.low = np.array([m["low"] for m in manifest], np.uint64)
         self.key, self.salt = np.zeros(1 << _CACHE_BITS, np.uint64), np.zeros(1 << _CACHE_BITS, np.uint64)
         self.value = np.zeros(1 << _CACHE_BITS, np.float32)
 
+    def _shard(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if k not in self.shards:
+            buffer = common.open_file(self.manifest[k]["uri"]).read_buffer()
+            n = int(np.frombuffer(buffer, np.int64, 1)[0])
+            self.shards[k] = (np.frombuffer(buffer, "<u8", n, 8), np.frombuffer(buffer, "<f4", n, 8 + 8 * n), np.frombuffer(buffer, "<f4", n, 8 + 12 * n))
+        return self.shards[k]
+
     def _find(self, n: int, g: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """(log10 p or nan, log10 backoff weight) of n-grams of order n."""
         h = _hash(n, g, salt)
         p, w = np.full(len(h), np.nan, np.float32), np.zeros(len(h), np.float32)
         which = np.maximum(np.searchsorted(self.low, h, "right") - 1, 0) if len(self.low) else np.empty(0, int)
         for s in np.unique(which):
-            keys, logp, logg = self.shards[s]
+            keys, logp, logg = self._shard(int(s))
             mine = np.flatnonzero(which == s)
             at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
             hit = keys[at] == h[mine]

@@ -248,7 +248,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     common.ship(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    folder = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = f"{common.work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     n = max(1, -(-size // SHARD_BYTES))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
     shards = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_writer(folder, vocabulary), "uri string, number long, n_ids long, n_docs long")

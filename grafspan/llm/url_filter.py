@@ -122,7 +122,7 @@ def build_digest_array(patterns: DataFrame) -> list[dict]:
     """
     spark = patterns.sparkSession
     common.ship(spark)
-    folder = f"{common.shared_dir(spark)}/urls-{uuid.uuid4().hex}"
+    folder = f"{common.work_dir(spark)}/urls-{uuid.uuid4().hex}"
     clean = patterns.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.min("kind").alias("kind"))
 
     def digest(batches):

@@ -47,6 +47,23 @@ def empty(spark):
     return spark.createDataFrame([], ODD_SCHEMA)
 
 
+def test_intermediate_tables_are_removed_on_demand(spark):
+    import os
+
+    kept = common.store(spark.range(3), "x")
+    folder = common.work_dir(spark).removeprefix("file://")
+    assert kept.count() == 3 and any(n.startswith("x-") for n in os.listdir(folder))
+    # the tests' own session goes on to use the folder: another name is removed here
+    other = "file://" + folder + "-other"
+    os.makedirs(folder + "-other/y")
+    original, common.work_dir = common.work_dir, lambda s: other
+    try:
+        common.clean(spark)
+    finally:
+        common.work_dir = original
+    assert not os.path.exists(folder + "-other") and kept.count() == 3
+
+
 # ---------------------------------------------------------------- 1
 def test_url_filter_rules(spark):
     rules = url_filter.build_digest_array(spark.createDataFrame([*url_filter.RULES, (None, "x.y/"), ("allow", None)], "kind string, pattern string"))
