@@ -35,7 +35,7 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 SKETCH_BITS, BINS = 2048, 1024
 #: Members of a bucket, and bytes of their sets, that one task of step 4 has of each of its two blocks, about.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
 
 def banding(percent: int) -> tuple[int, int]:
