@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(confirmed(star, sets))
 
     # buckets that still hold several components
-    at = members.where("size > 2").select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_keys = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    at = common.store(members.where("size > 2").select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "near-at")
+    open_keys = common.store(at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "near-open-keys")
     rest = common.store(at.join(open_keys.hint("merge"), "key", "left_semi"), "near-open")
     if not rest.isEmpty():
         here = rest.select("id").distinct()
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known_sets = known_sets.join(marked.select("id", "d1", "d2", "n", "sketch", "bands").dropDuplicates(["id", "d1", "d2"]).hint("merge"), ["id", "d1", "d2"])
         # blocks are dealt on narrow rows; a bucket's sets are only moved to the block pairs that need them
         weight = rest.join(marked.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-        dealt = rest.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = rest.join(common.store(weight, "near-weights").hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
         dealt = dealt.select("key", "id", "comp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), side.alias("side"))

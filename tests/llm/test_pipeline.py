@@ -24,7 +24,7 @@ def test_stages_keep_what_their_operators_keep(spark, sf):
             elif k == 1:
                 want = {r.doc_id for r in language.predict(docs, language.fit(docs)).collect() if r.lang_pred != "und" and r.score >= 0.5}
             elif k == 2:
-                want = {r.doc_id for r in near_dedup.near_duplicates(docs).collect() if r.kept}
+                want = {r.doc_id for r in near_dedup.near_duplicates(docs, percent=80).collect() if r.kept}
             else:
                 found = decontaminate.find_windows(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
                 hit = {r._row.doc_id: (sum(s.b - s.a for s in r.spans), r.n_words) for r in found}
