@@ -35,7 +35,7 @@ REACH, SHORT = 3.0, 400.0
 CELLS = 1000
 #: A language with fewer documents to count on has no band: its documents are judged by the base rules alone.
 LEAST_DOCS = 20
-#: Bands of so many languages are broadcast; beyond, they are joined.
+#: Bands and discounts of so many languages are broadcast; beyond, they are joined by shuffles.
 BROADCAST_LANGS = 10_000
 _CACHE_BITS = 20
 _SYMBOLS = common._table(lambda b: b in b"#*$%&|<>")
@@ -139,6 +139,12 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return r.select("lang", bounded(1, 1 - 2 * y * F.col("n2") / F.col("n1"), 0.5), bounded(2, 2 - 3 * y * F.col("n3") / F.col("n2"), 0.75), bounded(3, third, 0.9))
 
 
+def _for_all(by_language: DataFrame) -> DataFrame:
+    """A table with a row for each language, to be joined: broadcast behind a check of its size, so that the other side
+    isn't dealt out by language, of which one may have most rows."""
+    return F.broadcast(by_language) if by_language.count() <= BROADCAST_LANGS else by_language
+
+
 def model_entries(texts: DataFrame, every: bool = False) -> DataFrame:
     """(lang, n, g, logp, logg) from rows (language, text): n-gram g of order n with its log10 probability and the
     log10 weight with which it backs off as a context (each null where it isn't one). n = 0 has the probability of a
@@ -152,7 +158,7 @@ def model_entries(texts: DataFrame, every: bool = False) -> DataFrame:
     for n in range(1, ORDER + 1):
         table = tables[n] if n == ORDER else common.store(tables[n], f"kn-{n}")
         # the key of a context has no bits above its n - 1 units
-        table = table.withColumn("h", _shift("g", 1) if n > 1 else F.lit(0).cast("long")).join(_discounts(table), "lang")
+        table = table.withColumn("h", _shift("g", 1) if n > 1 else F.lit(0).cast("long")).join(_for_all(common.store(_discounts(table), f"kn-d{n}")), "lang")
         table = table.withColumn("less", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         contexts = table.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("less") / F.sum("c")).alias("gamma"), F.count("*").alias("kinds"))
         row = table.join(contexts, ["lang", "h"])
@@ -343,10 +349,7 @@ def judge(docs: DataFrame, manifest: list[dict], id_col: str = "doc_id", text_co
 
     rows = _rows(docs, id_col, text_col, lang_col)
     scored = common.store(rows.mapInArrow(run, f"_id {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _prose boolean, n_chars long, log_ppl double"), "kn-scores")
-    bands = common.store(bands_of(scored), "kn-bands")
-    if bands.count() <= BROADCAST_LANGS:
-        # a row for each language; so documents aren't moved to their language's task
-        bands = F.broadcast(bands)
+    bands = _for_all(common.store(bands_of(scored), "kn-bands"))
     reach = REACH * (F.col("q3") - F.col("q1") + 0.01) * F.sqrt(1 + SHORT / F.greatest(F.col("n_chars"), F.lit(1)))
     out = scored.join(bands, "_lang", "left").withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
