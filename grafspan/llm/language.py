@@ -5,8 +5,8 @@ counted over all rows to learn from. The weights are fitted by follow-the-regula
 L2 penalties, which leaves most of them zero, and probabilities are calibrated by one temperature, on
 sampled documents that the weights have not seen.
 
-The fit uses a sample of about TRAIN_PER_LANG documents of each of the LANGS languages that most labelled rows have,
-chosen by a hash of the id; so what the driver holds and what is broadcast is bounded, however many values the
+The fit uses a sample of about TRAIN_PER_LANG documents (TRAIN_DOCS in all) of each of the LANGS languages that most
+labelled rows have, chosen by a hash of the id; so what the driver holds and what is broadcast is bounded, however many values the
 language column has. The weights that L1 leaves are kept and broadcast in sparse form.
 """
 
@@ -21,6 +21,8 @@ from . import common
 
 TRAIN_PER_LANG = 1000
 LANGS = 200
+#: Sampled documents in all, about; with more than 20 languages each has fewer than TRAIN_PER_LANG.
+TRAIN_DOCS = 20_000
 BITS = 16
 ORDERS = (1, 2, 3)
 EPOCHS = 3
@@ -155,6 +157,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     model = Model(langs, idf)
     if len(langs) == 0:
         return model
+    per_lang = min(per_lang, max(1, TRAIN_DOCS // len(langs)))
     share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, per_lang / counts[g])))])[F.col("_lang")]
     draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 20)) / (1 << 20)
     # most rows leave before their text is turned into a vector; the sample is bounded by per_lang
