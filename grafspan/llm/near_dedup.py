@@ -36,6 +36,8 @@ BANDS, ROWS = 25, 5
 SKETCH_BITS, BINS = 2048, 1024
 #: Members of a bucket, and bytes of their sets, that one task of step 4 has of each of its two blocks, about.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: A bucket of less than one block is dealt to so many smaller ones at most.
+FEW_BLOCKS = 4
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -281,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known_sets = sets.join(here.hint("merge"), "id", "left_semi").dropDuplicates(["id", "d1", "d2"])
         known_sets = known_sets.join(marked.select("id", "d1", "d2", "n", "sketch", "bands").dropDuplicates(["id", "d1", "d2"]).hint("merge"), ["id", "d1", "d2"])
         # blocks are dealt on narrow rows; a bucket's sets are only moved to the block pairs that need them
-        weight = rest.join(marked.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+        weight = rest.join(marked.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.least(F.lit(FEW_BLOCKS), F.ceil(F.count("*") * FEW_BLOCKS / BLOCK))).cast("int").alias("blocks"))
         dealt = rest.join(common.store(weight, "near-weights").hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
