@@ -7,6 +7,7 @@ and hashed with numpy on the whole buffer, never with a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCK = threading.Lock()
+#: Where the C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SHIPPED: set[str] = set()
 _FALLBACK: dict[str, str] = {}
 
 #: Bytes of text handled by one numpy call; longer single texts are handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 #: Rows and bytes of one Arrow batch, where the session leaves Spark's own (10,000 and 64 MB) as they are: a task holds
@@ -134,6 +137,25 @@ def with_text_only(df: DataFrame, *columns: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Arrow batches
+def frugal(fn):
+    """A function of Arrow batches that gives its worker's unused memory back when its partition is done: workers are
+    reused, and what they keep adds up beside the executor's heap."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -170,7 +170,7 @@ def store_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(data)], pa.int64())], ["uri", "size"])
 
     placed = rows.coalesce(1) if blocks == 1 else rows.repartition(blocks, F.xxhash64("i", "t"))
-    return sorted((r.uri, r.size) for r in common.store(placed.mapInArrow(build, "uri string, size long"), "windows").collect())
+    return sorted((r.uri, r.size) for r in common.store(placed.mapInArrow(common.frugal(build), "uri string, size long"), "windows").collect())
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,8 +204,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id
     kind = state.schema["_row"].dataType.simpleString()
     found = _scan(store_index(benchmark, item_col, item_text, window), share if keep == "clean" else 0)
     if keep == "all":
-        return state.mapInArrow(found, f"_row {kind}, n_words long, spans {SPANS}, items array<string>")
-    state = state.mapInArrow(found, f"_row {kind}, _text string")
+        return state.mapInArrow(common.frugal(found), f"_row {kind}, n_words long, spans {SPANS}, items array<string>")
+    state = state.mapInArrow(common.frugal(found), f"_row {kind}, _text string")
     return state.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 

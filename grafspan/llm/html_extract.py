@@ -548,7 +548,7 @@ def extract(pages: DataFrame, field: Field, id_col: str = "page_id", url_col: st
             texts = [main_text(h, shared.value) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    return common.with_text_only(pages, id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return common.with_text_only(pages, id_col, url_col, html_col).mapInArrow(common.frugal(run), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang")).where((common.crc_mod("_id", 3) != 1) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGS).collect()}
     langs = sorted(counts)
-    found = {r.c: r.n for r in known.select("_text").mapInArrow(_frequencies, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toLocalIterator()}
+    found = {r.c: r.n for r in known.select("_text").mapInArrow(common.frugal(_frequencies), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toLocalIterator()}
     total = found.pop(-1, 0)
     idf = np.zeros(1 << BITS)
     for c, n in found.items():
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     number = {g: k for k, g in enumerate(langs)}
     now, later = [], []
-    for b in sample.mapInArrow(vectors, "at array<int>, v array<float>, lang string, later boolean").toArrow().to_batches():
+    for b in sample.mapInArrow(common.frugal(vectors), "at array<int>, v array<float>, lang string, later boolean").toArrow().to_batches():
         for k in range(b.num_rows):
             row = (b.column(0)[k].values.to_numpy(), b.column(1)[k].values.to_numpy().astype(float), number[b.column(2)[k].as_py()])
             (later if b.column(3)[k].as_py() else now).append(row)
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             langs, scores = shared.value.predict(common.as_bytes(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return common.with_text_only(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return common.with_text_only(docs, id_col, text_col).mapInArrow(common.frugal(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def remove_unidentified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -207,7 +207,7 @@ def remove_unidentified(docs: DataFrame, model: Model, text_col: str = "text", l
             langs, scores = shared.value.predict(common.as_bytes(b.column(text_col)))
             yield b.filter(pa.array([g != UNKNOWN and s >= least for g, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,9 +304,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size = rows.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
     bits = min(32, max(8, math.ceil(math.log2(max(1, size / 5 / RANGE_ENTRIES)))))
     folder = f"{common.work_dir(spark)}/lm-{uuid.uuid4().hex}"
-    chunks = common.store(rows.mapInArrow(_write_chunks(folder), "chunk string, fold boolean"), "lm-chunks")
+    chunks = common.store(rows.mapInArrow(common.frugal(_write_chunks(folder)), "chunk string, fold boolean"), "lm-chunks")
     n_chunks = max(1, chunks.count())
-    asked = chunks.select("chunk").repartition(n_chunks, "chunk").mapInArrow(_ask(bits), _ASKED)
+    asked = chunks.select("chunk").repartition(n_chunks, "chunk").mapInArrow(common.frugal(_ask(bits)), _ASKED)
     answers = common.store(asked.groupBy("ord", "range").applyInArrow(_answer, "chunk string, ord int, range long, totals binary, types long, tokens long"), "lm-totals")
     told = answers.agg(F.sum("types"), F.sum("tokens")).first()
     v, n = told[0] or 0, told[1] or 0

@@ -226,6 +226,8 @@ def _across(similarity: float, percent: int):
                 if root[j] != root[i]:
                     root[root == root[j]] = root[i]
                     links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        del values, dense, sketch, bands
+        common.release()
         pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     common.ship(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    signed = common.store(narrow.mapInArrow(_sign(percent), "_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-signatures")
+    signed = common.store(narrow.mapInArrow(common.frugal(_sign(percent)), "_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-signatures")
     known = signed.where("n > 0 AND _id IS NOT NULL")
     classes = common.store(known.groupBy("d1", "d2").agg(F.min("_id").alias("id")), "near-classes")
     # rows that share id and set are one; a class's signature is that of its representative
@@ -259,18 +261,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = common.store(marked.join(met.hint("merge"), "id", "left_semi").select("id", "n", "sketch"), "near-sketches")
 
     # the joins are merge joins at any size: neither side is bounded
-    sets = common.store(narrow.withColumnRenamed("_id", "id").join(met.hint("merge"), "id", "left_semi").select("id", "_text").mapInArrow(_load_sets, "id long, d1 long, d2 long, shingles binary"), "near-sets")
+    sets = common.store(narrow.withColumnRenamed("_id", "id").join(met.hint("merge"), "id", "left_semi").select("id", "_text").mapInArrow(common.frugal(_load_sets), "id long, d1 long, d2 long, shingles binary"), "near-sets")
     similarity = percent / 100
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(common.frugal(_confirm(percent)), "a long, b long")
 
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     x = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sx"))
     y = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sy"))
-    star = star.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "na", "nb", "sx", "sy").mapInArrow(_within(similarity), "a long, b long").distinct()
+    star = star.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "na", "nb", "sx", "sy").mapInArrow(common.frugal(_within(similarity)), "a long, b long").distinct()
     comps = connected_components(confirmed(star, sets))
 
     # buckets that still hold several components

@@ -149,7 +149,7 @@ def model_entries(texts: DataFrame, every: bool = False) -> DataFrame:
     """(lang, n, g, logp, logg) from rows (language, text): n-gram g of order n with its log10 probability and the
     log10 weight with which it backs off as a context (each null where it isn't one). n = 0 has the probability of a
     character that the language's texts don't have."""
-    top = common.store(texts.mapInArrow(_count(every), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), "kn-counts")
+    top = common.store(texts.mapInArrow(common.frugal(_count(every)), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), "kn-counts")
     tables = {ORDER: top}
     for n in range(ORDER - 1, 0, -1):
         # how many different characters come before: its continuation count
@@ -211,11 +211,11 @@ def store_model(entries: DataFrame) -> list[dict]:
             common.put_file(uri, np.int64(len(h)).tobytes() + h[at].astype("<u8").tobytes() + p[at].astype("<f4").tobytes() + g[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([int(h[at[0]])], pa.int64())], ["uri", "low"])
 
-    keyed = entries.mapInArrow(key, "h long, logp double, logg double")
+    keyed = entries.mapInArrow(common.frugal(key), "h long, logp double, logg double")
     shards = max(1, -(-entries.count() // SHARD_ROWS))
     placed = keyed.repartitionByRange(shards, "h") if shards > 1 else keyed.coalesce(1)
     # sorted here: sorting a frame that writes would write twice
-    return sorted(({"uri": r.uri, "low": r.low} for r in placed.mapInArrow(write, "uri string, low long").collect()), key=lambda m: m["low"])
+    return sorted(({"uri": r.uri, "low": r.low} for r in placed.mapInArrow(common.frugal(write), "uri string, low long").collect()), key=lambda m: m["low"])
 
 
 class Scorer:
@@ -348,7 +348,7 @@ def judge(docs: DataFrame, manifest: list[dict], id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c) for c in counts.values()], pa.array(looks_like_prose(counts)), pa.array(sizes), ppl], ["_id", "_lang", *counts, "_prose", "n_chars", "log_ppl"])
 
     rows = _rows(docs, id_col, text_col, lang_col)
-    scored = common.store(rows.mapInArrow(run, f"_id {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _prose boolean, n_chars long, log_ppl double"), "kn-scores")
+    scored = common.store(rows.mapInArrow(common.frugal(run), f"_id {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _prose boolean, n_chars long, log_ppl double"), "kn-scores")
     bands = _for_all(common.store(bands_of(scored), "kn-bands"))
     reach = REACH * (F.col("q3") - F.col("q1") + 0.01) * F.sqrt(1 + SHORT / F.greatest(F.col("n_chars"), F.lit(1)))
     out = scored.join(bands, "_lang", "left").withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)

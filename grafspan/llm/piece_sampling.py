@@ -29,7 +29,7 @@ from . import common
 
 SAMPLES = 2
 RANK_SHIFT = 10.0
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 #: Uniforms that are drawn ahead for each sample of a text; a search that needs more draws them one by one.
 DRAWS = 8
 MARK = "▁"
@@ -439,7 +439,7 @@ def sample_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(cols, out)
 
     out = [id_col, "sample", "n_tokens", "ids_crc32", "log_prob", "perturbed", "inclusion", "round_trip"] + ["ids"] * with_ids
-    return common.with_text_only(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double, round_trip boolean" + ", ids array<int>" * with_ids)
+    return common.with_text_only(docs, id_col, text_col).mapInArrow(common.frugal(run), f"`{id_col}` {kind}, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def default_vocabulary() -> str:

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = common.checkpoint(known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "_id").select("_text", "y", (F.crc32(F.col("_id").cast("string").cast("binary")) % 3).cast("int").alias("part"))
-    rows = common.store(rows.mapInArrow(_stat_batches, "y double, part int, stats array<float>"), "quality-stats")
+    rows = common.store(rows.mapInArrow(common.frugal(_stat_batches), "y double, part int, stats array<float>"), "quality-stats")
     model = Model()
     moments = rows.where("part = 0").agg(F.count("*"), *[f(F.col("stats")[k].cast("double")) for k in range(N_STATS) for f in (F.avg, F.stddev_pop)]).first()
     if not moments[0]:
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(np.hstack([a, c[:, None]])), pa.list_(pa.float64()))], ["i", "row"])
 
     # the labelled sample is bounded, so are its partitions
-    parts = rows.where("part = 0").select("y", "stats").coalesce(16).mapInArrow(sums, "i long, row array<double>")
+    parts = rows.where("part = 0").select("y", "stats").coalesce(16).mapInArrow(common.frugal(sums), "i long, row array<double>")
     total = np.zeros((width, width + 1))
     for r in parts.toLocalIterator():
         total[r.i] += np.array(r.row)
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             cell = np.floor(np.clip(fitted.value.raw(_matrix(b.column(1))), -1, 2) * CELLS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell)], ["y", "cell"])
 
-    cells = rows.where("part = 2").select("y", "stats").mapInArrow(raw, "y double, cell double").groupBy("cell").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("cell").toPandas()
+    cells = rows.where("part = 2").select("y", "stats").mapInArrow(common.frugal(raw), "y double, cell double").groupBy("cell").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("cell").toPandas()
     if len(cells):
         model.knots, model.levels = isotonic((cells.cell.to_numpy() + 0.5) / CELLS, cells.y.to_numpy(), cells.n.to_numpy(float))
     else:
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(statistics(common.as_bytes(b.column(1)))))], [id_col, "score"])
 
-    return common.with_text_only(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return common.with_text_only(docs, id_col, text_col).mapInArrow(common.frugal(run), f"`{id_col}` {kind}, score double")
 
 
 def remove_low_quality(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -194,7 +194,7 @@ def remove_low_quality(docs: DataFrame, model: Model, text_col: str = "text", le
             s = shared.value.score(statistics(common.as_bytes(b.column(text_col))))
             yield b.filter(pa.array(s >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

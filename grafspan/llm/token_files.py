@@ -251,7 +251,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     folder = f"{common.work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     n = max(1, -(-size // SHARD_BYTES))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
-    shards = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_writer(folder, vocabulary), "uri string, number long, n_ids long, n_docs long")
+    shards = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(common.frugal(_writer(folder, vocabulary)), "uri string, number long, n_ids long, n_docs long")
     # the number of shards is bounded by the input's size over SHARD_BYTES; only names and counts come here
     found = common.store(shards.withColumn("place", F.spark_partition_id()), "token-manifest")
     base, out = 0, []
@@ -285,7 +285,7 @@ def read_token_files(spark: SparkSession, manifest: list[dict], id_col: str = "d
         return pa.RecordBatch.from_arrays(cols, names)
 
     names = [id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    return shards.mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return shards.mapInArrow(common.frugal(read), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -142,11 +142,11 @@ def build_digest_array(patterns: DataFrame) -> list[dict]:
             sizes = sorted({len(p) - p.find("/") if "/" in p else 0 for _, p, _ in rows})
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([json.dumps(sizes)]), pa.array([str(rows[0][0])]), pa.array([len(data)], pa.int64())], ["uri", "sizes", "low", "bytes"])
 
-    keyed = clean.select("pattern", "kind").mapInArrow(digest, "key long, pattern string, kind string")
+    keyed = clean.select("pattern", "kind").mapInArrow(common.frugal(digest), "key long, pattern string, kind string")
     shards = max(1, -(-clean.count() // SHARD_ROWS))
     # ranges of the key's own order, that of unsigned numbers; equal keys stay in one shard
     placed = keyed.repartitionByRange(shards, F.col("key").bitwiseXOR(F.lit(-(1 << 63)))) if shards > 1 else keyed.coalesce(1)
-    return [{"uri": r.uri, "sizes": json.loads(r.sizes), "low": int(r.low), "bytes": r.bytes} for r in placed.mapInArrow(write, "uri string, sizes string, low string, bytes long").collect()]
+    return [{"uri": r.uri, "sizes": json.loads(r.sizes), "low": int(r.low), "bytes": r.bytes} for r in placed.mapInArrow(common.frugal(write), "uri string, sizes string, low string, bytes long").collect()]
 
 
 def _candidates(host: str, path: str, sizes: list[int]) -> list[str]:
@@ -186,7 +186,7 @@ def judge_urls(pages: DataFrame, rules: list[dict], blocked: list[dict], id_col:
 
     names = [id_col, "host", "path", "rule", "verdict"]
     kind = pages.schema[id_col].dataType.simpleString()
-    return common.with_text_only(pages, id_col, url_col).mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return common.with_text_only(pages, id_col, url_col).mapInArrow(common.frugal(judge), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str, blocklist: DataFrame | None = None) -> DataFrame:
