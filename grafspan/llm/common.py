@@ -99,10 +99,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as compressed Parquet below the shared folder and read it back; it stays until ``clean``."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df as compressed Parquet below the shared folder and read it back; it stays until ``clean``.
+
+    The shuffle files behind it aren't needed any more, but Spark lets them go only when the driver collects its
+    garbage; it is asked to, lest they fill the executors' disks until it happens to."""
+    spark, kind = df.sparkSession, df.schema
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(kind).parquet(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
